@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe"]
+MODULES = ["bpe", "quality_rules", "exact_dedup", "packing"]
 
 
 def _all(name: str) -> dict:
