@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, row_key, staged
+from tidelog.llm.common import documents, row_key, staged, steady
 
 BLOCK_BYTES = 4096
 #: Ranges in which names are sorted; a name is its rank times this, plus its range.
@@ -88,6 +88,7 @@ def next_level(names: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row."""
+    docs = steady(docs)
     # A text without twins is its own group: its row stands in for the name.
     known = identities(docs, block_bytes).select("row", "doc_id", "text_sha256", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", "row").alias("name"))
     known = staged(known, "identities")
@@ -116,6 +117,7 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """docs, each text once, with all its columns."""
+    docs = steady(docs)
     return without_rows(docs, groups(docs).where("not kept"))
 
 

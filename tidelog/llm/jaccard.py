@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, documents, row_key, shuffle_parts, small_batches, spans_of, staged, text_buffer
+from tidelog.llm.common import arrow_schema, documents, row_key, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
 from tidelog.llm.exact_dedup import without_rows
 from tidelog.llm.graph import components
 
@@ -349,6 +349,7 @@ def groups(docs: DataFrame) -> DataFrame:
     is kept has the smallest doc_id of its component."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = steady(docs)
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     wanted = max(shuffle_parts(spark), (size.bytes or 0) // 6 // PART_SHINGLES, 2)
     bits = min(32, int(np.ceil(np.log2(wanted))))
@@ -380,6 +381,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, with all their columns."""
+    docs = steady(docs)
     return without_rows(docs, groups(docs).where("not kept"))
 
 

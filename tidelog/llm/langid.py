@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, row_key, small_batches, spans_of, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, row_key, small_batches, spans_of, steady, text_buffer
 
 BITS = 13
 WIDTHS = (2, 3)
@@ -212,6 +212,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     """docs without the rows that are rejected, with all their columns."""
     from tidelog.llm.exact_dedup import without_rows
 
+    docs = steady(docs)
     known = predict(docs.select("doc_id", row_key().alias("row"), "text"), fit(learnable(docs)), "row")
     return without_rows(docs, known.where("rejected"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "quality_rules", "langid", "exact_dedup", "jaccard", "toxicity", "substrings", "packing", "nbsvm"]
+MODULES = ["bpe", "quality_rules", "langid", "exact_dedup", "jaccard", "warc", "toxicity", "substrings", "packing", "nbsvm"]
 
 
 def _all(name: str) -> dict:
