@@ -25,7 +25,7 @@ def both():
 def test_edges(both, text):
     own, lib = both
     ids = lib.encode(text, add_special_tokens=False).ids
-    assert own.encode(text).tolist() == ids
+    assert own.encode(text).tolist() == ids == own.encode_whole(text).tolist()
     assert own.decode(np.array(ids, np.int64)) == lib.decode(ids, skip_special_tokens=False)
 
 
@@ -34,6 +34,7 @@ def test_edges(both, text):
 def test_random(both, text):
     own, lib = both
     assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert own.encode_whole(text).tolist() == own.encode(text).tolist()
 
 
 @settings(max_examples=60, deadline=None)

@@ -75,10 +75,18 @@ class Codec:
         (ids then serve as ranks); otherwise the loop below."""
         order = [self.ids[a + b] for a, b in self.ranks]
         if all(x < y for x, y in zip(order, order[1:])) and all(bytes([b]) in self.ids for b in range(256)):
-            core = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=self.ids, special_tokens={})._core_bpe
-            return core.encode_single_piece
+            self.library = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=self.ids, special_tokens=self.special)
+            return self.library._core_bpe.encode_single_piece
+        self.library = None
         return self.merge
 
+    def encode_whole(self, text: str) -> np.ndarray:
+        """The same ids from the compiled library where it can serve this vocabulary:
+        for callers that need ids but not the splitting."""
+        if self.library is None:
+            return np.frombuffer(self.encode_bytes(text), "<u4")
+        return self.library.encode_to_numpy(text, allowed_special="all")
+
     def merge(self, fragment: bytes) -> list[int]:
         """Joins the lowest-ranked adjacent pair, leftmost first, until none is left;
         O(n log n) through a heap of pairs over a linked list."""

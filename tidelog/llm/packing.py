@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, piece:
         for batch in batches:
             lengths, crcs, ids = [], [], []
             for value in batch.column(2):
-                raw = own.encode_bytes(value.as_py() or "") + end
+                raw = own.encode_whole(value.as_py() or "").astype("<u4").tobytes() + end
                 lengths.append(len(raw) // 4)
                 at, sums = 0, []
                 for n in cuts(len(raw) // 4, capacity, piece):
