@@ -1,35 +1,321 @@
-"""The query catalogue: each query with the SQL that must give the same rows."""
+"""The query catalogue: each query with the SQL that must give the same rows.
+
+All derive one change log from `events`: a key per user and event type, the event's id as
+seq, every fourth event a delete. `run` deals the log into runs of 1000 changes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import merge
+from tidelog.engine import Store
+from tidelog.functions import keys
+from tidelog.functions.hashing import bloom_build, bloom_may_contain
+from tidelog.model import DELETE, PUT, Options
+from tidelog.operators import folds, levels, merge, wal
+from tidelog.sources.scratch import folder
+from tidelog.streaming.ingest import ingest
+
+BLOCK_BYTES, BUFFER_BYTES = 4096, 16384
+PROBES = ("000001:click", "000002:view", "000003:purchase", "000004:signup", "000005:click", "000006:view", "000007:logout", "999999:click", "000012:")
 
-#: The change log that the queries derive from `events`.
-LOG_SQL = (
-    "SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') || ':' || event_type AS key, event_id AS seq, "
-    "CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS op, props AS value, event_id // 1000 AS run FROM events"
+LOG = (
+    "L AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') || ':' || event_type AS key, event_id AS seq, "
+    "CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS op, CASE WHEN event_id % 4 = 0 THEN '' ELSE props END AS value, "
+    "event_id // 1000 AS run FROM events)"
 )
-LATEST_SQL = "SELECT * FROM L QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"
+LATEST = "T AS (SELECT * FROM L QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+RUNS = "R AS (SELECT run, min(key) AS smallest, max(key) AS largest, count(DISTINCT key) AS entries FROM L GROUP BY run)"
+STATUS = "CASE WHEN T.op = 1 THEN 'OK' WHEN T.op = 2 THEN 'NotFound: deleted' ELSE 'NotFound: not found' END"
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log (key, op, value, seq, run) as a projection of `events`."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    deleted = F.col("event_id") % 4 == 0
     return events.select(
         F.concat(F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(":"), "event_type").alias("key"),
-        F.when(F.col("event_id") % 4 == 0, merge.DELETE).otherwise(merge.PUT).alias("op"),
-        F.col("props").alias("value"),
+        F.when(deleted, DELETE).otherwise(PUT).alias("op"),
+        F.when(deleted, "").otherwise(F.col("props")).alias("value"),
         F.col("event_id").alias("seq"),
         F.floor(F.col("event_id") / 1000).cast("long").alias("run"),
     )
 
 
-def q_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain(frame: DataFrame) -> DataFrame:
+    """Binary columns as strings, small integers as bigint."""
+    kinds = dict(frame.dtypes)
+    cast = {"binary": "string", "tinyint": "bigint", "int": "bigint"}
+    return frame.select(*[F.col(c).cast(cast.get(k, k)).alias(c) for c, k in kinds.items()])
+
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return add
+
+
+# -- on the change log alone
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, value FROM T WHERE op = 1")
+def q_live(spark, sf_dir):
     return merge.live(changes(spark, sf_dir))
 
 
-QUERIES = {"q_live": q_live}
-ORACLE = {"q_live": f"WITH L AS ({LOG_SQL}), T AS ({LATEST_SQL}) SELECT key, value FROM T WHERE op = 1"}
+@query(f"WITH {LOG} SELECT key, value, seq FROM L WHERE op = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def q_overwrite(spark, sf_dir):
+    return merge.latest(changes(spark, sf_dir).where(F.col("op") == PUT)).select("key", "value", "seq")
+
+
+@query(f"WITH {LOG}, {LATEST}, P AS (SELECT '{PROBES[0]}' AS key) SELECT P.key, {STATUS} AS status, CASE WHEN T.op = 1 THEN T.value END AS value FROM P LEFT JOIN T ON P.key = T.key")
+def q_get(spark, sf_dir):
+    probe = spark.createDataFrame([(PROBES[0],)], "key string")
+    return merge.lookup(changes(spark, sf_dir).where(F.col("key") == PROBES[0]), probe)
+
+
+@query(
+    f"WITH {LOG}, {LATEST}, P AS (SELECT unnest([{', '.join(repr(p) for p in PROBES)}]) AS key) "
+    f"SELECT P.key, {STATUS} AS status, CASE WHEN T.op = 1 THEN T.value END AS value FROM P LEFT JOIN T ON P.key = T.key"
+)
+def q_multi_get(spark, sf_dir):
+    probes = spark.createDataFrame([(p,) for p in PROBES], "key string")
+    return merge.lookup(changes(spark, sf_dir), probes)
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM T")
+def q_snapshot(spark, sf_dir):
+    return plain(merge.snapshot(changes(spark, sf_dir)))
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, value FROM T WHERE op = 1 AND key >= '000010' AND key < '000020'")
+def q_range_scan(spark, sf_dir):
+    return merge.live(changes(spark, sf_dir).where((F.col("key") >= "000010") & (F.col("key") < "000020")))
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, value FROM T WHERE op = 1 AND starts_with(key, '000012:')")
+def q_prefix_scan(spark, sf_dir):
+    top = keys.successor(b"000012:").decode()
+    return merge.live(changes(spark, sf_dir).where((F.col("key") >= "000012:") & (F.col("key") < top)))
+
+
+@query(
+    f"WITH {LOG}, S AS (SELECT run AS segment, seq AS pos, key, seq % 1000 <> 700 + run AS ok FROM L) "
+    "SELECT segment, pos, key FROM S QUALIFY min(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY pos) = 1"
+)
+def q_wal_prefix(spark, sf_dir):
+    return wal.valid_prefix(_wal(spark, sf_dir)).select("segment", "pos", "key")
+
+
+@query(
+    f"WITH {LOG}, S AS (SELECT run AS segment, seq AS pos, seq % 1000 <> 700 + run AS ok FROM L), "
+    "K AS (SELECT *, min(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY pos) AS good FROM S) "
+    "SELECT segment, count(*) AS records, CAST(sum(good) AS BIGINT) AS kept, CAST(count(*) - sum(good) AS BIGINT) AS discarded FROM K GROUP BY segment"
+)
+def q_wal_discarded(spark, sf_dir):
+    return wal.discarded(_wal(spark, sf_dir))
+
+
+def _wal(spark, sf_dir):
+    log = changes(spark, sf_dir)
+    return log.select(F.col("run").alias("segment"), F.col("seq").alias("pos"), "key", (F.col("seq") % 1000 != 700 + F.col("run")).alias("ok"))
+
+
+@query(f"WITH {LOG}, {RUNS} SELECT run, smallest, largest, entries FROM R")
+def q_run_meta(spark, sf_dir):
+    return levels.run_table(changes(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, {RUNS}, P AS (SELECT unnest([{', '.join(repr(p) for p in PROBES)}]) AS key) SELECT P.key, count(*) AS candidates FROM P JOIN R ON P.key BETWEEN smallest AND largest GROUP BY P.key")
+def q_candidates(spark, sf_dir):
+    probes = spark.createDataFrame([(p,) for p in PROBES], "key string")
+    return levels.candidate_join(probes, levels.run_table(changes(spark, sf_dir))).groupBy("key").agg(F.count("*").alias("candidates"))
+
+
+@query(
+    f"WITH {LOG}, {RUNS}, H AS (SELECT min(smallest) AS lo, max(largest) AS hi FROM R WHERE run >= 5) "
+    "SELECT run, smallest, largest FROM R, H WHERE run < 5 AND NOT (smallest > hi OR largest < lo)"
+)
+def q_overlap(spark, sf_dir):
+    table = levels.run_table(changes(spark, sf_dir))
+    hull = table.where("run >= 5").agg(F.lit(-1).alias("run"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+    met = levels.overlap_join(table.where("run < 5"), hull).select(F.col("run_a").alias("run"))
+    return table.join(met, "run", "left_semi").select("run", "smallest", "largest")
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM T")
+def q_merge_ranked(spark, sf_dir):
+    """Runs 0 to 4 are an older level, later runs level 0, the newest first."""
+    log = changes(spark, sf_dir)
+    rank = F.when(F.col("run") < 5, F.lit(1 << 40) - F.col("run")).otherwise(-F.col("run"))
+    return plain(merge.merge_ranked(log.withColumn("rank", rank), "rank"))
+
+
+@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE run < 5) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def q_compact_keep(spark, sf_dir):
+    return plain(merge.compact(changes(spark, sf_dir).where("run < 5"), None))
+
+
+@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE run < 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O WHERE op = 1")
+def q_compact_drop(spark, sf_dir):
+    return plain(merge.compact(changes(spark, sf_dir).where("run < 5"), []))
+
+
+BLOCKS_SQL = f"""
+WITH RECURSIVE {LOG},
+E AS (SELECT key, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L WHERE run = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
+S AS (SELECT row_number() OVER (ORDER BY key) AS i, key, 1 + (k >= 128)::INT + (k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v AS size FROM E),
+B AS (SELECT i, key, 0 AS block, size AS total FROM S WHERE i = 1
+      UNION ALL SELECT S.i, S.key, CASE WHEN B.total >= {BLOCK_BYTES} THEN B.block + 1 ELSE B.block END, CASE WHEN B.total >= {BLOCK_BYTES} THEN S.size ELSE B.total + S.size END
+      FROM B JOIN S ON S.i = B.i + 1)
+SELECT CAST(0 AS BIGINT) AS run, CAST(block AS BIGINT) AS block, min(key) AS first_key, count(*) AS entries, CAST(max(total) AS BIGINT) AS bytes FROM B GROUP BY block"""
+
+
+@query(BLOCKS_SQL)
+def q_blocks(spark, sf_dir):
+    state = merge.latest(changes(spark, sf_dir).where("run = 0"))
+    size = folds.encoded_size(F.octet_length("key"), F.octet_length("value"))
+    return folds.blocks(state.select(F.lit(0).alias("run"), "key", size.alias("size")), BLOCK_BYTES)
+
+
+GENERATIONS_SQL = f"""{LOG},
+S AS (SELECT seq, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v, coalesce(lag(seq) OVER (PARTITION BY key ORDER BY seq), -1) AS prev, row_number() OVER (ORDER BY seq) AS i FROM L),
+G AS (SELECT i, seq, 0 AS generation, seq AS first_seq, k + v + {folds.ENTRY_BYTES} AS total FROM S WHERE i = 1
+      UNION ALL SELECT S.i, S.seq, G.generation + (G.total >= {BUFFER_BYTES})::INT, CASE WHEN G.total >= {BUFFER_BYTES} THEN S.seq ELSE G.first_seq END,
+        CASE WHEN G.total >= {BUFFER_BYTES} THEN k + v + {folds.ENTRY_BYTES} WHEN S.prev < G.first_seq THEN G.total + k + v + {folds.ENTRY_BYTES} ELSE G.total + v END
+      FROM G JOIN S ON S.i = G.i + 1),
+A AS (SELECT generation, min(first_seq) AS first_seq, max(seq) AS last_seq, count(*) AS entries, max(total) AS bytes FROM G GROUP BY generation)"""
+
+
+def _rotations(spark, sf_dir):
+    log = changes(spark, sf_dir)
+    return folds.rotations(log.select(F.lit(0).alias("log"), "seq", "key", F.octet_length("key").alias("key_bytes"), F.octet_length("value").alias("value_bytes")), BUFFER_BYTES)
+
+
+@query(f"WITH RECURSIVE {GENERATIONS_SQL} SELECT CAST(0 AS BIGINT) AS log, CAST(generation AS BIGINT) AS generation, first_seq, last_seq, entries, CAST(bytes AS BIGINT) AS bytes FROM A")
+def q_rotations(spark, sf_dir):
+    return _rotations(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {GENERATIONS_SQL} SELECT CAST(generation AS BIGINT) AS generation, CAST(2 * generation + 1 AS BIGINT) AS log_number, CAST(2 * generation + 2 AS BIGINT) AS table_number FROM A")
+def q_version_ids(spark, sf_dir):
+    return wal.generations(_rotations(spark, sf_dir))
+
+
+@query(
+    f"WITH {LOG}, F AS (SELECT DISTINCT run, CASE WHEN run < 4 THEN 1 ELSE 0 END AS level FROM L) "
+    "SELECT CAST(level AS BIGINT) AS level, count(*) AS files FROM F GROUP BY level HAVING count(*) > 4"
+)
+def q_pick_level(spark, sf_dir):
+    files = changes(spark, sf_dir).select("run", F.when(F.col("run") < 4, 1).otherwise(0).cast("long").alias("level")).distinct()
+    return files.groupBy("level").agg(F.count("*").alias("files")).where("files > 4")
+
+
+@query(
+    f"WITH {LOG}, E AS (SELECT run, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L) SELECT run, count(*) AS entries, CAST(sum(1 + (k >= 128)::INT + "
+    "(k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v) AS BIGINT) AS bytes FROM E GROUP BY run"
+)
+def q_encoded_size(spark, sf_dir):
+    size = folds.encoded_size(F.octet_length("key"), F.octet_length("value"))
+    return changes(spark, sf_dir).groupBy("run").agg(F.count("*").alias("entries"), F.sum(size).cast("long").alias("bytes"))
+
+
+@query()
+def q_bloom_check(spark, sf_dir):
+    """Per run: its keys, how many its filter denies (none may be), and how many of as
+    many absent keys it lets through."""
+    import pyarrow as pa
+
+    schema = pa.schema([(c, pa.int64()) for c in ("run", "keys", "false_negatives", "false_positives")])
+
+    def check(table: pa.Table) -> pa.Table:
+        own = sorted(k.encode() for k in set(table["key"].to_pylist()))
+        filter_ = bloom_build(own)
+        absent = [k + b"?" for k in own]
+        row = (table["run"][0].as_py(), len(own), sum(not bloom_may_contain(filter_, k) for k in own), sum(bloom_may_contain(filter_, k) for k in absent))
+        return pa.Table.from_arrays([pa.array([v], pa.int64()) for v in row], schema=schema)
+
+    return changes(spark, sf_dir).select("run", "key").groupBy("run").applyInArrow(check, "run long, keys long, false_negatives long, false_positives long")
+
+
+# -- through a store on disk
+
+
+def filled(spark: SparkSession, sf_dir: str, batches: int = 5, compact: bool = False) -> Store:
+    """A store that took the log in batches, each flushed but the last."""
+    store = Store.open(spark, folder(spark, "store"), Options(level0_trigger=2))
+    log = changes(spark, sf_dir)
+    for i in range(batches):
+        store.apply(_slice(log, i, batches), "seq")
+        if i + 1 < batches:
+            store.flush()
+    if compact:
+        store.maybe_compact()
+    return store
+
+
+def _slice(log: DataFrame, i: int, parts: int) -> DataFrame:
+    """The i-th of some stretches of the log, by seq."""
+    top = log.agg(F.max("seq")).first()[0] or 0
+    edge = [top * k // parts for k in range(parts)] + [top + 1]
+    return log.where((F.col("seq") >= edge[i] + (i > 0)) & (F.col("seq") < edge[i + 1] + (i + 1 < parts)))
+
+
+@query(ORACLE["q_live"])
+def q_store_live(spark, sf_dir):
+    return plain(filled(spark, sf_dir).live())
+
+
+@query(ORACLE["q_live"])
+def q_store_compacted(spark, sf_dir):
+    store = filled(spark, sf_dir, compact=True)
+    store.flush()
+    store.compact_range()
+    return plain(store.live())
+
+
+@query(ORACLE["q_multi_get"])
+def q_store_multi_get(spark, sf_dir):
+    return plain(filled(spark, sf_dir, compact=True).multi_get(spark.createDataFrame([(p,) for p in PROBES], "key string")))
+
+
+@query(ORACLE["q_range_scan"])
+def q_store_scan(spark, sf_dir):
+    return plain(filled(spark, sf_dir).scan("000010", "000020"))
+
+
+@query(ORACLE["q_prefix_scan"])
+def q_store_prefix(spark, sf_dir):
+    return plain(filled(spark, sf_dir).prefix("000012:"))
+
+
+@query(f"WITH {LOG}, {LATEST} SELECT key, CAST(op AS BIGINT) AS op, value FROM T")
+def q_store_snapshot(spark, sf_dir):
+    return plain(filled(spark, sf_dir).snapshot().drop("seq"))
+
+
+@query(ORACLE["q_live"])
+def q_stream_live(spark, sf_dir):
+    """The log as a stream, one run per micro-batch."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = folder(spark, "stream")
+    store = Store.open(spark, f"{path}/store")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    deleted = F.col("event_id") % 4 == 0
+    log = events.select(
+        F.concat(F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(":"), "event_type").alias("key"),
+        F.when(deleted, DELETE).otherwise(PUT).alias("op"), F.when(deleted, "").otherwise(F.col("props")).alias("value"), F.col("event_id").alias("seq"),
+    )
+    ingest(log, store, f"{path}/checkpoint", order="seq").awaitTermination()
+    return plain(store.live())
