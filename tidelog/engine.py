@@ -87,27 +87,19 @@ class Store:
             F.when(F.col("op") == PUT, F.coalesce(F.col("value").cast("binary"), F.lit(bytearray()))).otherwise(F.lit(bytearray())).alias("value"),
             (F.col(order).cast("long") if order else F.lit(0).cast("long")).alias("ordinal"),
         )
-        bounds = rows.agg(
-            F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.count("*").alias("n"),
-            F.count(F.when(F.col("key").isNull() | F.col("ordinal").isNull() | ~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)), 1)).alias("bad"),
-        ).first()
-        if bounds.bad:
-            raise InvalidArgument(f"{bounds.bad} rows without a key, an ordinal or a known op")
-        if rows.groupBy("key", "ordinal").count().where("count > 1").limit(1).count():
-            raise InvalidArgument("a key comes twice; name a column that orders its rows")
+        low = (rows.agg(F.min("ordinal")).first()[0] if order else 0) or 0
+        base, number = self.version.next_seq, self.version.next_number
+        batch = rows.withColumn("seq", F.col("ordinal") - F.lit(low) + F.lit(base)).drop("ordinal")
+        segment = tables.write_segment(batch, self.files, self.path, number)
         streams = tuple(sorted((dict(self.version.streams) | dict([stream] if stream else [])).items()))
-        if not bounds.n:
+        if segment is None:
             if stream:
                 self._commit(streams=streams)
             return 0
-        base = self.version.next_seq
-        batch = rows.withColumn("seq", F.col("ordinal") - F.lit(bounds.low) + F.lit(base))
-        number = self.version.next_number
-        segment = tables.write_segment(batch, self.files, self.path, number)
-        self._commit(next_number=number + 1, next_seq=base + bounds.high - bounds.low + 1, segments=(*self.version.segments, segment), streams=streams)
+        self._commit(next_number=number + 1, next_seq=segment.max_seq + 1, segments=(*self.version.segments, segment), streams=streams)
         if self.options.auto_flush and sum(s.bytes for s in self.version.segments) >= self.options.write_buffer_size:
             self.flush()
-        return bounds.n
+        return segment.rows
 
     def put_all(self, rows: DataFrame, order: str | None = None) -> int:
         """Puts (key, value) rows."""

@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.model import CHANGES, DELETE, Options, Run, Segment
+from tidelog.model import CHANGES, DELETE, PUT, InvalidArgument, Options, Run, Segment
 from tidelog.sources.files import Files
 
+#: As CHANGES, but for data that was not checked yet.
+LOOSE = T.StructType([T.StructField(f.name, f.dataType) for f in CHANGES])
+
 
 def read_changes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The changes in some segments and runs; no path, no rows."""
@@ -19,14 +23,21 @@ def read_changes(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_segment(changes: DataFrame, files: Files, root: str, number: int) -> Segment | None:
-    """Appends a batch as a segment; None for an empty batch."""
+    """Appends a batch as a segment; None for an empty batch. The batch is checked where
+    it was written, so its source is computed once; a bad one is removed again."""
     path = f"{root}/log/number={number:012d}-{uuid.uuid4().hex[:8]}"
     changes.select(*CHANGES.fieldNames()).write.parquet(path)
-    stats = read_changes(changes.sparkSession, [path]).agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    if not stats.n:
+    written = changes.sparkSession.read.schema(LOOSE).parquet(path)
+    known = F.col("key").isNotNull() & F.col("seq").isNotNull() & F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False))
+    stats = written.agg(F.count("*").alias("n"), F.count(F.when(~known, 1)).alias("bad"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    twice = not stats.bad and stats.n > 1 and not written.groupBy("key", "seq").count().where("count > 1").isEmpty()
+    if not stats.n or stats.bad or twice:
         files.delete(path)
-        return None
-    return Segment(number, path, stats.n, files.size(path), stats.low, stats.high)
+    if stats.bad:
+        raise InvalidArgument(f"{stats.bad} rows without a key, an ordinal or a known op")
+    if twice:
+        raise InvalidArgument("a key comes twice; name a column that orders its rows")
+    return Segment(number, path, stats.n, files.size(path), stats.low, stats.high) if stats.n else None
 
 
 def write_run(state: DataFrame, files: Files, root: str, level: int, number: int, options: Options, bytes_in: int) -> Run | None:
