@@ -59,10 +59,12 @@ def planted(seed):
     return [(i * 3, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"SHORT_LIST": 2, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6})])
+@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"PIVOTS": 0, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6})])
 def test_components(spark, monkeypatch, seed, tune):
     for name, value in tune.items():
         monkeypatch.setattr(jaccard, name, value)
+    if seed == 3:
+        monkeypatch.setattr(graph, "TASK_LINKS", 0)
     rows = planted(seed)
     rows += [(900, None), (901, ""), (902, " \n"), (903, None), (6, rows[2][1]), (6, rows[2][1]), (None, rows[5][1]), (None, "q w e r t y"), (950, "z " * 30_000)]
     docs = spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id long, text string, key int, common binary")
@@ -77,7 +79,9 @@ def test_one_of_each_and_empty(spark):
     assert jaccard.groups(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_graph(spark):
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_components_of_a_graph(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "TASK_LINKS", bound)
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 240)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

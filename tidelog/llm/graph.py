@@ -1,21 +1,31 @@
-"""Connected components of a link table, by alternating star steps.
+"""Connected components of a link table, by alternating star steps, or by union-find in
+one task where the links were counted and are few.
 
-Each step is one aggregation, combined before it shuffles, and one join back whose two
+Each star step is one aggregation, combined before it shuffles, and one join back whose two
 sides are plain exchanges, so a hub with very many links is split by adaptive execution.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import staged
 
 
+#: Links that one task may hold (16 bytes each), counted first.
+TASK_LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links (a long, b long); root is the smallest node
     of its component. Nodes that are linked to themselves only may be missing."""
     edges = staged(links.select("a", "b").where("a <> b").distinct(), "links")
+    if edges.count() <= TASK_LINKS:
+        return edges.coalesce(1).mapInArrow(merge_all, "node long, root long")
     mark = None
     while True:
         edges = staged(small_star(staged(large_star(edges), "large")), "small")
@@ -27,6 +37,26 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded number of links, by union-find in one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,9 +13,10 @@ can become candidates. A pair is verified if its prefixes share min(l1, l2) shin
    shared, and comes first in the order: a class with fewer than t others has no
    partner. Shingles that a sample shows in a large share of all documents skip this
    exchange: they come last in the order, and no task gathers their postings.
-3. Postings of the prefixes link each class to one pivot of each list; links found
-   merge classes, and only pairs of unmerged classes are taken up again, until lists are
-   short. The rest is joined pair by pair. No link between two components is left out.
+3. Lists of postings are compared once if several shingles have the same list. In two
+   rounds each class is compared with one pivot of each list; links merge classes, so a
+   group of near copies is one component after as many comparisons as it has members.
+   Then all pairs of unmerged classes are, so no link between two components is lost.
 
 Shingles are compared by a hash of at least 54 bits, classes by 64 bits and their size.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
 from tidelog.llm.common import arrow_schema, documents, row_key, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
-from tidelog.llm.exact_dedup import without_rows
+from tidelog.llm.exact_dedup import BROADCAST_ROWS, without_rows
 from tidelog.llm.graph import components
 
 WIDTH = 5
@@ -51,8 +52,8 @@ SAMPLE_DOCS, COMMON_COUNT = 10_000, 10
 LONGEST_MATCH = 8
 #: Cost of verifying a pair against that of one posting.
 VERIFY_COST = 20.0
-#: Lists with more unmerged classes than this get another pivot.
-SHORT_LIST, MOST_PIVOTS = 32, 8
+#: Rounds in which each class is compared with one pivot of each list only.
+PIVOTS = 2
 
 
 def needed(n: np.ndarray | int):
@@ -274,6 +275,8 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     intersection; the sizes of the whole sets give the union."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}"))
     both = F.size(F.array_intersect("codes_a", "codes_b"))
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
     return (
         pairs.join(side("b"), "b").join(side("a"), "a")
         .where(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both))
@@ -294,53 +297,48 @@ def postings(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return flat.join(roots, flat.key == roots.node, "left").select("code", "key", "n", "match", F.coalesce("root", "key").alias("root"))
 
 
+def open_lists(all_: DataFrame, last: bool) -> DataFrame:
+    """(code, weight, pivot) of the posting lists that hold unmerged classes. Lists with
+    the same classes, as the shingles of one passage have, come up once, with their
+    number as weight."""
+    pivot = F.max if last else F.min
+    lists = all_.groupBy("code").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"),
+        pivot(F.struct("root", "key", "n", "match")).alias("pivot"),
+    ).where("least < most")
+    return lists.groupBy("h1", "h2", "size").agg(F.min("code").alias("code"), F.count("*").alias("weight"), F.first("pivot").alias("pivot"))
+
+
 def links(classes: DataFrame) -> DataFrame | None:
     """(node, root) of all classes that are linked to another; None without any."""
-    spark = classes.sparkSession
     found, roots, tried = None, None, None
-
-    def merged(new: DataFrame) -> None:
-        nonlocal found, roots
-        found = new if found is None else staged(found.unionByName(new), "found")
-        roots = staged(components(found), "roots")
-
-    for turn in range(MOST_PIVOTS):
+    for turn in range(PIVOTS + 1):
         all_ = staged(postings(classes, roots), "postings")
-        lists = all_.groupBy("code").agg(
-            F.min("root").alias("least"), F.max("root").alias("most"), F.approx_count_distinct("root", 0.1).alias("width"),
-            (F.min if turn % 2 == 0 else F.max)(F.struct("root", "key", "n", "match")).alias("pivot"),
-        ).where("least < most")
-        lists = staged(lists.select("code", "pivot", "width"), "lists")
-        widest = lists.agg(F.max("width")).first()[0]
-        if widest is None:
-            return roots
-        if turn and widest <= SHORT_LIST:
-            break
-        star = (
-            all_.join(lists, "code").where(F.col("root") != F.col("pivot.root"))
-            .groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
-            .agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("pivot.n").alias("pn"), F.first("match").alias("m"), F.first("pivot.match").alias("pm"))
-            .where(fits("n", "pn") & (F.col("hits") >= F.least("m", "pm"))).select("a", "b")
+        lists = staged(open_lists(all_, turn % 2 == 1), "lists")
+        if turn < PIVOTS:  # each class against one other class of each list
+            pairs = all_.join(lists, "code").where(F.col("root") != F.col("pivot.root")).select(
+                F.col("pivot.key").alias("a"), F.col("key").alias("b"), "weight", F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b"),
+                F.least("match", "pivot.match").alias("least"),
+            )
+        else:  # all that is left: unmerged classes of one list
+            part = staged(all_.join(lists.select("code", "weight"), "code"), "open")
+            left, right = (part.select("code", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "match", "root")]) for x in "ab")
+            pairs = left.join(right.drop("weight"), "code").where((F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b")).select(
+                F.col("key_a").alias("a"), F.col("key_b").alias("b"), "weight", "n_a", "n_b", F.least("match_a", "match_b").alias("least")
+            )
+        pairs = (
+            pairs.where(fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("hits"), F.first("least").alias("least"))
+            .where("hits >= least").select("a", "b")
         )
         if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        star = staged(star, "star")
-        tried = star if tried is None else staged(tried.unionByName(star), "tried")
-        new = staged(verified(star, classes), "verified")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = staged(verified(pairs, classes), "verified")
         if not new.isEmpty():
-            merged(new)
-    # What is left: pairs of unmerged classes that share enough of their prefixes.
-    all_ = postings(classes, roots).join(lists.select("code"), "code")
-    left, right = (all_.select("code", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "match", "root")]) for x in "ab")
-    pairs = (
-        left.join(right, "code").where((F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b"))
-        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .agg(F.count("*").alias("hits"), F.first(F.least("match_a", "match_b")).alias("match"))
-        .where("hits >= match").select("a", "b")
-    )
-    new = staged(verified(staged(pairs, "pairs"), classes), "verified")
-    if not new.isEmpty():
-        merged(new)
+            found = new if found is None else found.unionByName(new)
+            roots = staged(components(found), "roots")
     return roots
 
 
