@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes features in a linear support vector machine.
 
-A text is the set of its hashed byte n-grams, case kept, and a bucket for how many of
-them are distinct. Each indicator is scaled by the log ratio of its counts in the two
+A text is the set of its hashed byte n-grams, case kept, with a bucket for how many of
+them are distinct and one for how many words repeat the word before. Each indicator is scaled by the log ratio of its counts in the two
 classes, each row to length one, and a linear model with hinge loss is fitted by dual
 coordinate descent. Platt's sigmoid, fitted on rows that the
 descent did not see, turns margins into scores.
@@ -31,7 +31,7 @@ from tidelog.llm.common import arrow_schema, crc_mod, documents, small_batches,
 BITS = 16
 WIDTHS = (1, 2, 3, 4)
 SHARE_BUCKETS = 16
-SIZE = (1 << BITS) + SHARE_BUCKETS
+SIZE = (1 << BITS) + 2 * SHARE_BUCKETS
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
@@ -70,10 +70,20 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.
             share = np.minimum(fresh / np.maximum(total ** 0.8, 1), 0.999)
             full = np.flatnonzero(total > 0)
             flags[full, (1 << BITS) + (share[full] * SHARE_BUCKETS).astype(int)] = True
+            echo, words = echoes(data, offsets[c : d + 1])
+            spoken = np.flatnonzero(words > 0)
+            flags[spoken, (1 << BITS) + SHARE_BUCKETS + (echo[spoken] / words[spoken] * (SHARE_BUCKETS - 1)).astype(int)] = True
             for i in range(d - c):
                 yield c + i, np.flatnonzero(flags[i])
 
 
+def echoes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row that equal the word before, and all words."""
+    words, rows = bytesops.words_of(data, offsets), len(offsets) - 1
+    same = (words.code[1:] == words.code[:-1]) & (words.doc[1:] == words.doc[:-1])
+    return np.bincount(words.doc[1:][same], minlength=rows), np.bincount(words.doc, minlength=rows)
+
+
 def distinct(row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
     seen = np.zeros(rows << BITS, bool)
     seen[row << BITS | bucket] = True
