@@ -133,18 +133,22 @@ class Store:
     def lookup(self, key: bytes | str, options: ReadOptions = ReadOptions()) -> DataFrame:
         """(key, status, value) of one key, from the files that may hold it."""
         key = keys.as_bytes(key)
-        limit = key.hex()
-        paths = [s.path for s in self.version.segments] + [r.path for r in self.version.runs if r.overlaps(limit, limit)]
-        found = tables.read_changes(self.spark, paths).where(F.col("key") == keys.literal(key))
-        probe = self.spark.createDataFrame([(key,)], "key binary")
-        return merge.lookup(found, probe)
+        return merge.lookup(self._point(key), self.spark.createDataFrame([(key,)], "key binary"))
+
+    def _point(self, key: bytes) -> DataFrame:
+        """Changes of one key, from the segments and the runs whose bounds hold it."""
+        paths = [s.path for s in self.version.segments] + [r.path for r in levels.candidates(self.version.runs, key)]
+        return tables.read_changes(self.spark, paths).where(F.col("key") == keys.literal(key))
 
     def get(self, key: bytes | str, options: ReadOptions = ReadOptions()) -> bytes:
         """The key's value; raises NotFound("deleted") or NotFound("not found")."""
-        row = self.lookup(key, options).first()
-        if row.status == "OK":
-            return bytes(row.value)
-        raise NotFound(row.status.removeprefix("NotFound: "))
+        key = keys.as_bytes(key)
+        newest = self._point(key).agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).first().v
+        if newest is None:
+            raise NotFound("not found")
+        if newest.op != PUT:
+            raise NotFound("deleted")
+        return bytes(newest.value)
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
         """(key, status, value) for each row of probes (key). Few keys bound the files
