@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import re
 import tempfile
 import uuid
@@ -48,6 +52,49 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers are reused and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(work):
+    """A grouped or batch function whose worker gives memory back after each call or
+    at the end of each task."""
+    if inspect.isgeneratorfunction(work):
+
+        @functools.wraps(work)
+        def batches(it):
+            try:
+                yield from work(it)
+            finally:
+                give_back()
+
+        return batches
+
+    @functools.wraps(work)
+    def group(table):
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    return group
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A runtime setting for as long as the block runs."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; only where none is set, one for this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)

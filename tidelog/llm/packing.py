@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import arrow_schema, documents, row_key, small_batches, staged
+from tidelog.llm.common import arrow_schema, documents, frugal, row_key, small_batches, staged
 
 CAPACITY = 2048
 END_ID = 1
@@ -116,7 +116,7 @@ def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, piece:
             columns = [batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), schema=out)
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), F.xxhash64(row_key()).alias("deal"), docs.text).mapInArrow(run, schema)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), F.xxhash64(row_key()).alias("deal"), docs.text).mapInArrow(frugal(run), schema)
 
 
 def pack(
@@ -161,7 +161,7 @@ def pack(
         return pa.Table.from_arrays(columns, schema=out)
 
     dealt = pieces.withColumn("group", F.pmod("deal", F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(run, schema)
+    return dealt.groupBy("group").applyInArrow(frugal(run), schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
