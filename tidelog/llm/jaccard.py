@@ -13,10 +13,11 @@ can become candidates. A pair is verified if its prefixes share min(l1, l2) shin
    shared, and comes first in the order: a class with fewer than t others has no
    partner. Shingles that a sample shows in a large share of all documents skip this
    exchange: they come last in the order, and no task gathers their postings.
-3. Lists of postings are compared once if several shingles have the same list. In two
-   rounds each class is compared with one pivot of each list; links merge classes, so a
-   group of near copies is one component after as many comparisons as it has members.
-   Then all pairs of unmerged classes are, so no link between two components is lost.
+3. Lists of postings are compared once if several shingles have the same list. In rounds,
+   until one finds little, each class is compared with one pivot of each list, the centre
+   of its copies; links merge classes, so a group of near copies is one component after
+   about as many comparisons as it has members. At last all pairs of unmerged classes of a
+   list are compared, so no link between two components is lost.
 
 Shingles are compared by a hash of at least 54 bits, classes by 64 bits and their size.
 
@@ -39,21 +40,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, documents, row_key, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
+from tidelog.llm.common import arrow_schema, documents, frugal, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, without_rows
 from tidelog.llm.graph import components
 
 WIDTH = 5
 PERCENT = 80
 #: Shingles per part of the exchange, on average.
-PART_SHINGLES = 3_000_000
+PART_SHINGLES = 2_000_000
 #: Documents sampled for very common shingles, and the count there that makes one common.
 SAMPLE_DOCS, COMMON_COUNT = 10_000, 10
 LONGEST_MATCH = 8
 #: Cost of verifying a pair against that of one posting.
 VERIFY_COST = 20.0
-#: Rounds in which each class is compared with one pivot of each list only.
-PIVOTS = 2
+#: Rounds at most in which each class is compared with one pivot of each list only.
+PIVOTS = 4
+#: There is another round after one in which this share of pairs were links.
+WORTH_A_ROUND = 0.05
+#: Bits of a class's parity.
+PARITY = 2048
 
 
 def needed(n: np.ndarray | int):
@@ -114,7 +119,7 @@ def common_shingles(docs: DataFrame, n_docs: int, bits: int) -> np.ndarray:
         code, n = np.unique(np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint64), return_counts=True)
         return pa.Table.from_arrays([pa.array(code[n >= COMMON_COUNT].view(np.int64))], schema=found)
 
-    rows = chosen.mapInArrow(run, "g int, codes binary").groupBy("g").applyInArrow(count, "code long").toArrow()
+    rows = chosen.mapInArrow(frugal(run), "g int, codes binary").groupBy("g").applyInArrow(frugal(count), "code long").toArrow()
     return np.sort(rows["code"].to_numpy().view(np.uint64))
 
 
@@ -133,7 +138,7 @@ def described(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=out)
 
-    return docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
 
 
 def dealt(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
@@ -169,7 +174,7 @@ def dealt(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out) if rows else pa.RecordBatch.from_pylist([], schema=out)
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(frugal(run), schema)
 
 
 def joined_buffers(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -212,7 +217,7 @@ def returned(parts: DataFrame, bits: int) -> DataFrame:
             rows.append((int(bucket[a]), distinct[own].tobytes(), size[own].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), code[a:b].tobytes(), df[a:b].tobytes()))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
-    return parts.groupBy("part").applyInArrow(run, RETURNED)
+    return parts.groupBy("part").applyInArrow(frugal(run), RETURNED)
 
 
 def with_common(described_: DataFrame, bits: int) -> DataFrame:
@@ -230,7 +235,7 @@ def with_common(described_: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
     classes = described_.where("key is not null and length(common) > 0").groupBy("key", "n").agg(F.first("common").alias("common"))
-    return classes.select("key", "n", "common").mapInArrow(run, RETURNED)
+    return classes.select("key", "n", "common").mapInArrow(frugal(run), RETURNED)
 
 
 def choose_match(df: np.ndarray, base: int) -> int:
@@ -242,10 +247,18 @@ def choose_match(df: np.ndarray, base: int) -> int:
     return int(np.argmin(hits + VERIFY_COST * hits / lengths)) + 1
 
 
+def parity_of(codes: np.ndarray) -> np.ndarray:
+    """Which residues an odd number of codes have, as 64-bit words."""
+    odd = np.bincount((bytesops.mix(codes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def survivors(rows: DataFrame) -> DataFrame:
-    """(key, n, match, prefix, codes) of the classes that may have a partner: codes are
-    those shared with others, in the global order; the first `prefix` are the prefix."""
-    schema = "key long, n long, match int, prefix int, codes array<long>"
+    """(key, n, match, prefix, centre, parity, codes) of the classes that may have a
+    partner: codes are those shared with others, in the global order; the first `prefix`
+    are the prefix. centre is the mean logarithm of how many classes have a shingle of
+    the set."""
+    schema = "key long, n long, match int, prefix int, centre double, parity array<long>, codes array<long>"
     out = arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
@@ -264,10 +277,11 @@ def survivors(rows: DataFrame) -> DataFrame:
             n = int(size[owner[a]])
             base = (b - a) - needed(n) + 1
             match = choose_match(df[a:b], base)
-            rows.append((int(distinct[owner[a]]), n, match, base + match - 1, code[a:b].view(np.int64)))
+            centre = float(np.log2(df[a:b].astype(np.float64)).sum() / n)
+            rows.append((int(distinct[owner[a]]), n, match, base + match - 1, centre, parity_of(code[a:b]), code[a:b].view(np.int64)))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
-    return rows.groupBy("bucket").applyInArrow(run, schema)
+    return rows.groupBy("bucket").applyInArrow(frugal(run), schema)
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -275,10 +289,11 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     intersection; the sizes of the whole sets give the union."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}"))
     both = F.size(F.array_intersect("codes_a", "codes_b"))
+    firsts = pairs.select("a").distinct()
     if pairs.count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
+        pairs, firsts = F.broadcast(pairs), F.broadcast(firsts)
     return (
-        pairs.join(side("b"), "b").join(side("a"), "a")
+        pairs.join(side("b"), "b").join(side("a").join(firsts, "a", "left_semi"), "a")
         .where(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both))
         .select("a", "b")
     )
@@ -290,56 +305,91 @@ def fits(n_a: str, n_b: str) -> F.Column:
 
 
 def postings(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(code, key, n, match, root) of every class's prefix."""
-    flat = classes.select("key", "n", "match", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("code"))
+    """(code, key, n, match, centre, root, alone) of every class's prefix; alone: the
+    class is not linked to any yet."""
+    flat = classes.select("key", "n", "match", "centre", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("code"))
     if roots is None:
-        return flat.withColumn("root", F.col("key"))
-    return flat.join(roots, flat.key == roots.node, "left").select("code", "key", "n", "match", F.coalesce("root", "key").alias("root"))
+        return flat.withColumns({"root": F.col("key"), "alone": F.lit(True)})
+    joined = flat.join(roots, flat.key == roots.node, "left")
+    return joined.select("code", "key", "n", "match", "centre", F.coalesce("root", "key").alias("root"), F.col("root").isNull().alias("alone"))
+
 
+def open_lists(all_: DataFrame, turn: int) -> DataFrame:
+    """(code, codes, size, weight, pivot) of the posting lists that hold unmerged classes.
+    Lists with the same classes, as the shingles of one passage have, come up once, under
+    the least of their codes, with their number as weight.
 
-def open_lists(all_: DataFrame, last: bool) -> DataFrame:
-    """(code, weight, pivot) of the posting lists that hold unmerged classes. Lists with
-    the same classes, as the shingles of one passage have, come up once, with their
-    number as weight."""
-    pivot = F.max if last else F.min
+    The pivot is the class whose shingles most others have: all of a text's shingles
+    recur in its copies, while a copy has some of its own, so that is the centre of the
+    group. Later turns take the centre of the classes that are still alone.
+    """
+    member = F.struct(*([F.col("alone")] if turn else []), F.col("centre"), F.col("key"), F.col("n"), F.col("match"), F.col("root"))
     lists = all_.groupBy("code").agg(
         F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"),
-        pivot(F.struct("root", "key", "n", "match")).alias("pivot"),
+        F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"), F.max(member).alias("pivot"),
     ).where("least < most")
-    return lists.groupBy("h1", "h2", "size").agg(F.min("code").alias("code"), F.count("*").alias("weight"), F.first("pivot").alias("pivot"))
+    same = lists.groupBy("h1", "h2", "size")
+    return same.agg(F.min("code").alias("code"), F.collect_list("code").alias("codes"), F.count("*").alias("weight"), F.first("pivot").alias("pivot"))
+
+
+def star_pairs(all_: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b): each class with the pivot of each of its lists, if they share enough."""
+    return (
+        all_.join(lists.drop("codes"), "code").where((F.col("root") != F.col("pivot.root")) & fits("n", "pivot.n"))
+        .groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+        .agg(F.sum("weight").alias("hits"), F.first(F.least("match", "pivot.match")).alias("least")).where("hits >= least").select("a", "b")
+    )
+
+
+def all_pairs(all_: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of all unmerged classes of a list that may be similar and share enough of
+    their prefixes. A pair becomes a row only if it passes, so a group of near misses
+    makes hardly any.
+
+    A class's parity has one bit for each residue of a shingle's hash, set if an odd
+    number of its shingles have it. Where two parities differ the sets do, so the number
+    of such bits is at most the size of the sets' difference.
+    """
+    every = lists.select(F.explode("codes").alias("code"))
+    open_ = staged(all_.join(every, "code", "left_semi").select("code", "key", "root"), "open")
+    codes_of = open_.groupBy("key").agg(F.collect_list("code").alias("lists"))
+    words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]
+    whole = classes.select("key", "n", "match", (F.col("n") - F.size("codes")).alias("own"), *words)
+    rows = staged(open_.join(lists.select("code"), "code", "left_semi").join(codes_of.join(whole, "key"), "key"), "rows")
+    side = lambda x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
+    size = F.col("n_a") + F.col("n_b")
+    apart = F.col("own_a") + F.col("own_b")
+    for i in range(PARITY // 64):
+        apart += F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b")))
+    near = (100 + PERCENT) * (size - apart) >= 2 * PERCENT * size
+    enough = F.size(F.array_intersect("lists_a", "lists_b")) >= F.least("match_a", "match_b")
+    close = (F.col("code_a") == F.col("code_b")) & (F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b") & near & enough
+    pairs = side("a").join(side("b"), close).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    # As one method this condition is too long for the JVM to compile; apart from
+    # whole-stage code it is generated in short ones.
+    with setting(classes.sparkSession, "spark.sql.codegen.wholeStage", "false"):
+        return staged(staged(pairs, "near").distinct(), "pairs")
 
 
 def links(classes: DataFrame) -> DataFrame | None:
     """(node, root) of all classes that are linked to another; None without any."""
-    found, roots, tried = None, None, None
-    for turn in range(PIVOTS + 1):
+    found = roots = None
+    turn, last = 0, False
+    while True:
         all_ = staged(postings(classes, roots), "postings")
-        lists = staged(open_lists(all_, turn % 2 == 1), "lists")
-        if turn < PIVOTS:  # each class against one other class of each list
-            pairs = all_.join(lists, "code").where(F.col("root") != F.col("pivot.root")).select(
-                F.col("pivot.key").alias("a"), F.col("key").alias("b"), "weight", F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b"),
-                F.least("match", "pivot.match").alias("least"),
-            )
-        else:  # all that is left: unmerged classes of one list
-            part = staged(all_.join(lists.select("code", "weight"), "code"), "open")
-            left, right = (part.select("code", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "match", "root")]) for x in "ab")
-            pairs = left.join(right.drop("weight"), "code").where((F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b")).select(
-                F.col("key_a").alias("a"), F.col("key_b").alias("b"), "weight", "n_a", "n_b", F.least("match_a", "match_b").alias("least")
-            )
-        pairs = (
-            pairs.where(fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("hits"), F.first("least").alias("least"))
-            .where("hits >= least").select("a", "b")
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        lists = staged(open_lists(all_, turn), "lists")
+        if lists.isEmpty():
+            return roots
+        pairs = all_pairs(all_, lists, classes) if last else staged(star_pairs(all_, lists), "pairs")
         new = staged(verified(pairs, classes), "verified")
-        if not new.isEmpty():
+        links_found, looked_at = new.count(), pairs.count()
+        if links_found:
             found = new if found is None else found.unionByName(new)
             roots = staged(components(found), "roots")
-    return roots
+        if last:
+            return roots
+        turn += 1
+        last = links_found <= WORTH_A_ROUND * looked_at or turn >= PIVOTS
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -388,4 +438,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_jaccard_join": op5_jaccard_join}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.r = e.a)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id, c.doc_id = min(r) AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
+}
