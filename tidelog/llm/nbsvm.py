@@ -7,7 +7,7 @@ coordinate descent. Platt's sigmoid, fitted on rows that the
 descent did not see, turns margins into scores.
 
 The model is fitted on at most about SAMPLE_ROWS labelled rows, chosen by a hash of the
-row id. Scores read every text whole.
+row id, of at most SAMPLE_BYTES each. Scores read every text whole.
 
 Defined results: a null or empty text has no n-grams and gets the score of the bias
 alone; without labels of both classes every score is the share of label 1 (1 without
@@ -33,6 +33,8 @@ WIDTHS = (1, 2, 3, 4)
 SHARE_BUCKETS = 16
 SIZE = (1 << BITS) + 2 * SHARE_BUCKETS
 SAMPLE_ROWS = 8000
+#: Longer texts are not sampled, so the sample has a bound in bytes too. They are scored.
+SAMPLE_BYTES = 32_768
 THRESHOLD = 0.7
 HELD_OUT_MODULUS, HELD_OUT_REST = 4, 2
 CHUNK = 1 << 18
@@ -160,7 +162,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, salt: s
     n = known.count()
     share = int(min(1.0, bound / max(n, 1)) * (1 << 30))
     chosen = known.where(F.pmod(F.xxhash64("__id", F.lit(salt)), F.lit(1 << 30)) < share)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__label").alias("label"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select("doc_id", "text", F.col("__label").alias("label"))
 
 
 def fit(rows: DataFrame) -> Model:

@@ -8,7 +8,7 @@ folds; a row's features come from the lexicon of the other folds, trees grow on
 folds but one and the calibration on that one, so no row is judged by what it taught.
 
 The model is fitted on at most about SAMPLE_ROWS labelled rows of each label, chosen by
-a hash of the row id. Scores read every text whole.
+a hash of the row id, of at most SAMPLE_BYTES each. Scores read every text whole.
 
 Defined results: a null or empty text has zero in all features and is scored like any
 other; without labels of both classes every score is the share of label 1 (0 without
@@ -30,6 +30,8 @@ from tidelog.llm import bytesops
 from tidelog.llm.common import arrow_schema, crc_mod, documents, small_batches, spans_of, text_buffer
 
 SAMPLE_ROWS = 6000
+#: Longer texts are not sampled, so the sample has a bound in bytes too. They are scored.
+SAMPLE_BYTES = 32_768
 HELD_OUT_MODULUS = 5
 THRESHOLD = 0.5
 FOLDS = 4
@@ -285,6 +287,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray, np
         bound = F.when(F.col("__y") == k, F.lit(int(s * (1 << 30)))).otherwise(bound)
     chosen = known.where(F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 30)) < bound)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    joined = joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
     table = joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("__y").alias("y")).toArrow()
     table = table.sort_by([("text", "ascending"), ("y", "ascending")])
     table = table.take(np.random.default_rng(5).permutation(table.num_rows))
