@@ -1,7 +1,9 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 Each document is its token ids and then an end id, cut into whole windows and a rest,
-the rest into pieces. The pieces of some hundreds of windows are partitioned together:
+from which a small piece is cut whose size varies: large pieces come first in the
+differencing, and small ones level what they leave. The pieces of some hundreds of
+windows are partitioned together:
 every piece starts as a partial partition; the two partial partitions with the largest
 imbalance are merged, the fullest window of one with the emptiest of the other, until
 one is left, whose windows are nearly equal. If the fullest exceeds the capacity, the
@@ -32,17 +34,18 @@ from tidelog.llm.common import arrow_schema, documents, frugal, row_key, small_b
 
 CAPACITY = 2048
 END_ID = 1
-#: Longest piece of a document's rest; shorter pieces level better and cut more.
-PIECE = 512
+#: Sizes of the small pieces, from the first to below the sum of both.
+SMALL, SMALL_SPAN = 8, 56
 #: Windows that one group of rests fills.
 GROUP_WINDOWS = 256
 
 
-def cuts(length: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
-    """Lengths of a document's pieces: whole windows, then near-equal parts of the rest."""
+def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of a document's pieces: whole windows, then the rest less a small piece,
+    then that piece; a short rest stays whole."""
     whole, rest = divmod(length, capacity)
-    parts = -(-rest // piece)
-    return [capacity] * whole + [rest * (i + 1) // parts - rest * i // parts for i in range(parts)]
+    small = SMALL + rest * 7919 % SMALL_SPAN
+    return [capacity] * whole + ([rest - small, small] if rest > 4 * small else [rest] if rest else [])
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -93,7 +96,7 @@ def windows_for(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         count += 1
 
 
-def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, piece: int, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, deal, doc_tokens, crcs[, ids]) for each document."""
     schema = "doc_id long, deal long, doc_tokens long, crcs array<long>" + (", ids array<long>" if with_ids else "")
     out = arrow_schema(schema)
@@ -107,7 +110,7 @@ def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, piece:
                 raw = own.encode_whole(value.as_py() or "").astype("<u4").tobytes() + end
                 lengths.append(len(raw) // 4)
                 at, sums = 0, []
-                for n in cuts(len(raw) // 4, capacity, piece):
+                for n in cuts(len(raw) // 4, capacity):
                     sums.append(zlib.crc32(raw[at : at + 4 * n]))
                     at += 4 * n
                 crcs.append(sums)
@@ -120,12 +123,12 @@ def tokenised(docs: DataFrame, path: str, with_ids: bool, capacity: int, piece:
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, with_ids: bool = False, capacity: int = CAPACITY, piece: int = PIECE, group_windows: int = GROUP_WINDOWS, end_id: int = END_ID
+    docs: DataFrame, path: str | None = None, with_ids: bool = False, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, end_id: int = END_ID
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and its ids if asked for."""
     small_batches(docs.sparkSession)
-    pieces = staged(tokenised(docs, path or bpe.default_path(), with_ids, capacity, piece, end_id), "tokens")
+    pieces = staged(tokenised(docs, path or bpe.default_path(), with_ids, capacity, end_id), "tokens")
     rests = pieces.agg(F.sum(F.col("doc_tokens") % capacity)).first()[0] or 0
     groups = max(1, round(rests / (capacity * group_windows)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
@@ -137,7 +140,7 @@ def pack(
         rows, sizes, rest_rows, sequence = [], [], [], 0
         for doc, total, crcs in zip(table["doc_id"].to_pylist(), table["doc_tokens"].to_pylist(), table["crcs"].to_pylist()):
             start = 0
-            for n, crc in zip(cuts(total, capacity, piece), crcs):
+            for n, crc in zip(cuts(total, capacity), crcs):
                 row = [doc, start, n, crc, total, 0, 0]
                 if n == capacity:
                     row[5] = group << 32 | sequence
@@ -156,7 +159,7 @@ def pack(
         columns = [pa.array([r[c] for r in rows], pa.int64()) for c in range(7)]
         if with_ids:
             whole = table["ids"].to_pylist()
-            index = [i for i, total in enumerate(table["doc_tokens"].to_pylist()) for _ in cuts(total, capacity, piece)]
+            index = [i for i, total in enumerate(table["doc_tokens"].to_pylist()) for _ in cuts(total, capacity)]
             columns.append(pa.array([whole[i][r[1] : r[1] + r[2]] for i, r in zip(index, rows)], pa.list_(pa.int64())))
         return pa.Table.from_arrays(columns, schema=out)
 
