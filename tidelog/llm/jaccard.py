@@ -19,7 +19,8 @@ can become candidates. A pair is verified if its prefixes share min(l1, l2) shin
    about as many comparisons as it has members. At last all pairs of unmerged classes of a
    list are compared, so no link between two components is lost.
 
-Shingles are compared by a hash of at least 54 bits, classes by 64 bits and their size.
+Shingles are compared by 48 bits of a hash and their part's number, classes by 64 bits
+and their size.
 
 Defined results: words are runs of characters other than space and U+0009 to U+000D,
 with A-Z in lower case. With fewer than five words the whole sequence is one shingle;
