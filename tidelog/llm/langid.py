@@ -32,6 +32,8 @@ BITS = 13
 WIDTHS = (2, 3)
 CENTROIDS = 3
 SAMPLE_PER_LANG, SAMPLE_TOTAL = 500, 6000
+#: Languages that a model may have; of more, the most frequent.
+MOST_LANGS = 1000
 #: A text is rejected under this share of the cosine that nearly all training texts reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.6, 0.01
 HELD_OUT_MODULUS = 5
@@ -113,7 +115,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, buckets, counts) of a bounded sample of docs (doc_id, text, lang)."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return []
     each = min(SAMPLE_PER_LANG, max(1, SAMPLE_TOTAL // len(sizes)))

@@ -158,7 +158,7 @@ def margin_of(row: np.ndarray, weights: np.ndarray, ratio: np.ndarray, bias: flo
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, salt: str) -> DataFrame:
     """(doc_id, text, label) of at most about `bound` labelled rows. The labels are
     sampled by a hash before the join, so what is broadcast has that bound too."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
     n = known.count()
     share = int(min(1.0, bound / max(n, 1)) * (1 << 30))
     chosen = known.where(F.pmod(F.xxhash64("__id", F.lit(salt)), F.lit(1 << 30)) < share)

@@ -279,7 +279,7 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> Model:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(texts, labels, weights) of a bounded number of rows of each label. The labels
     are sampled before the join, so what is broadcast is bounded too."""
-    known = labels.where("toxic is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
+    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
     sizes = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     share = {k: min(1.0, SAMPLE_ROWS / n) for k, n in sizes.items()}
     bound = F.lit(0)
