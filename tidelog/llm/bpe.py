@@ -13,6 +13,7 @@ table gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -25,7 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import arrow_schema, documents, small_batches
+from tidelog.llm.common import arrow_schema, documents, frugal, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pre-tokenizer's published pattern.
@@ -42,7 +43,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary file."""
+    """Encodes and decodes with one vocabulary file. What only some callers need is
+    built when first used; a worker may hold a codec for long."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -50,35 +52,70 @@ class Codec:
         alphabet = byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        self.tokens = {i: t for t, i in self.ids.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): n for n, (a, b) in enumerate(pairs)}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        self.merges = b"\n".join(f"{self.ids[raw(a)]} {self.ids[raw(b)]}".encode() for a, b in pairs)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t.encode() for t, i in self.special.items()}
-        self.words = regex.compile(PRETOKEN)
+        self.library = self._library()
+
+    def _library(self) -> tiktoken.Encoding | None:
+        """The compiled library, where ids of merge results rise with merge order, so
+        that ids can serve it as ranks."""
+        by_id, last = {i: t for t, i in self.ids.items()}, -1
+        for line in self.merges.split(b"\n") if self.merges else []:
+            a, b = map(int, line.split())
+            joined = self.ids[by_id[a] + by_id[b]]
+            if joined <= last:
+                return None
+            last = joined
+        if any(bytes([b]) not in self.ids for b in range(256)):
+            return None
+        return tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=self.ids, special_tokens=self.special)
+
+    @functools.cached_property
+    def by_id(self) -> list[bytes]:
+        tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+
+    @functools.cached_property
+    def ranks(self) -> dict[tuple[bytes, bytes], int]:
+        pairs = (tuple(map(int, line.split())) for line in self.merges.split(b"\n") if line)
+        return {(self.by_id[a], self.by_id[b]): n for n, (a, b) in enumerate(pairs)}
+
+    @functools.cached_property
+    def decimals(self) -> list[bytes]:
+        return [str(i).encode() for i in range(len(self.by_id))]
+
+    @functools.cached_property
+    def words(self):
+        return regex.compile(PRETOKEN)
+
+    @functools.cached_property
+    def cutter(self):
         longest_first = sorted(self.special, key=len, reverse=True)
-        self.cutter = regex.compile("|".join(map(regex.escape, longest_first))) if self.special else None
+        return regex.compile("|".join(map(regex.escape, longest_first))) if self.special else None
+
+    @functools.cached_property
+    def joinable(self) -> np.ndarray:
+        """Whether two bytes occur side by side in some token."""
         inside = np.zeros(65536, bool)
         for token in self.ids:
             if len(token) > 1:
                 b = np.frombuffer(token, np.uint8).astype(np.int64)
                 inside[b[:-1] << 8 | b[1:]] = True
-        self.joinable = inside
-        self.joinable_bytes = inside.tobytes()
-        self.merger = self._merger()
-        self.memory = Memory(self)
-        self.decimals = [str(i).encode() for i in range(max(self.tokens) + 1)]
-        self.by_id = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
-
-    def _merger(self):
-        """A compiled merge loop where ids of merge results rise with merge order
-        (ids then serve as ranks); otherwise the loop below."""
-        order = [self.ids[a + b] for a, b in self.ranks]
-        if all(x < y for x, y in zip(order, order[1:])) and all(bytes([b]) in self.ids for b in range(256)):
-            self.library = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=self.ids, special_tokens=self.special)
-            return self.library._core_bpe.encode_single_piece
-        self.library = None
-        return self.merge
+        return inside
+
+    @functools.cached_property
+    def joinable_bytes(self) -> bytes:
+        return self.joinable.tobytes()
+
+    @functools.cached_property
+    def merger(self):
+        """The library's merge loop, or the one below."""
+        return self.library._core_bpe.encode_single_piece if self.library else self.merge
+
+    @functools.cached_property
+    def memory(self) -> Memory:
+        return Memory(self)
 
     def encode_whole(self, text: str) -> np.ndarray:
         """The same ids from the compiled library where it can serve this vocabulary:
@@ -194,7 +231,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], schema=out)
 
-    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(run, "doc_id long, ids array<long>")
+    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(frugal(run), "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -209,7 +246,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [own.decode(np.array(i or [], np.int64)) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=out)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -231,7 +268,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(run, schema)
+    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(frugal(run), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Bytes worked on at a time; a longer row is worked on in parts of this size.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32

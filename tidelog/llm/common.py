@@ -46,10 +46,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough that very long texts fit in a worker."""
+    """Keeps the batches of scans and of Python small enough that very long texts fit."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
 
 
 def give_back() -> None:

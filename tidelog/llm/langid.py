@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, row_key, small_batches, spans_of, steady, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, row_key, small_batches, spans_of, steady, text_buffer
 
 BITS = 13
 WIDTHS = (2, 3)
@@ -134,7 +134,7 @@ def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 columns = [batch.column(1).slice(a, b - a), pa.array(buckets, pa.list_(pa.int32())), pa.array([t[i] for t, i in zip(total, buckets)], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    table = chosen.select("text", "lang").mapInArrow(run, schema).toArrow()
+    table = chosen.select("text", "lang").mapInArrow(frugal(run), schema).toArrow()
     return sorted(zip(table["lang"].to_pylist(), map(np.array, table["bucket"].to_pylist()), map(np.array, table["n"].to_pylist())), key=lambda r: (r[0], r[1].tolist(), r[2].tolist()))
 
 
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores), pa.array(rejected)], schema=out)
 
-    return docs.select("doc_id", *extra, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", *extra, "text").mapInArrow(frugal(run), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

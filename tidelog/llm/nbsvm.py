@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, small_batches, spans_of, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, small_batches, spans_of, text_buffer
 
 BITS = 16
 WIDTHS = (1, 2, 3, 4)
@@ -177,7 +177,7 @@ def fit(rows: DataFrame) -> Model:
             found = [r for _, r in indicators(*text_buffer(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], schema=out)
 
-    table = rows.select("label", "text").mapInArrow(run, schema).toArrow()
+    table = rows.select("label", "text").mapInArrow(frugal(run), schema).toArrow()
     pairs = sorted(zip(table["label"].to_pylist(), (np.asarray(v.values) for v in table["found"])), key=lambda p: (p[1].tobytes(), p[0]))
     order = np.random.default_rng(3).permutation(len(pairs))
     return train([pairs[i][1].astype(np.int64) for i in order], np.array([pairs[i][0] for i in order]))
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
 
 
 def held_out() -> F.Column:

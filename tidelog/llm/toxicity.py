@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, small_batches, spans_of, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, small_batches, spans_of, text_buffer
 
 SAMPLE_ROWS = 6000
 #: Longer texts are not sampled, so the sample has a bound in bytes too. They are scored.
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = calibrated(model, features(*text_buffer(batch.column(1)), model.lexicon))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
 
 
 def held_out() -> F.Column:

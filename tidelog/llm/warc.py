@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import arrow_schema, fresh_path, row_key, shuffle_parts, small_batches, staged, steady
+from tidelog.llm.common import arrow_schema, fresh_path, frugal, row_key, shuffle_parts, small_batches, staged, steady
 from tidelog.llm.exact_dedup import BROADCAST_ROWS
 
 #: Payloads of fewer bytes are never revisits.
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         if stream is not None:
             yield close()
 
-    return staged(planned.mapInArrow(run, MANIFEST), "manifest")
+    return staged(planned.mapInArrow(frugal(run), MANIFEST), "manifest")
 
 
 def order_of(r: dict) -> tuple:
@@ -233,7 +233,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(read_run(stream, name), schema=out)
 
     parts = max(shuffle_parts(manifest.sparkSession), 1)
-    return manifest.select("path").repartition(parts).mapInArrow(run, INDEX)
+    return manifest.select("path").repartition(parts).mapInArrow(frugal(run), INDEX)
 
 
 class LoserTree:
@@ -303,7 +303,7 @@ def merged(runs: DataFrame) -> DataFrame:
         if made:
             yield pa.RecordBatch.from_pylist(made, schema=out)
 
-    return ranges.mapInArrow(run, INDEX)
+    return ranges.mapInArrow(frugal(run), INDEX)
 
 
 def payloads(index: DataFrame, folder: str) -> DataFrame:
@@ -321,7 +321,7 @@ def payloads(index: DataFrame, folder: str) -> DataFrame:
                 made.append({"page_id": r["page_id"], "payload": http_payload(block)[1]})
             yield pa.RecordBatch.from_pylist(made, schema=out)
 
-    return index.where("record_type = 'response'").select("page_id", "archive", "offset", "length").mapInArrow(run, schema)
+    return index.where("record_type = 'response'").select("page_id", "archive", "offset", "length").mapInArrow(frugal(run), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
