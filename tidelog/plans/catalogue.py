@@ -189,6 +189,25 @@ def q_blocks(spark, sf_dir):
     return folds.blocks(state.select(F.lit(0).alias("run"), "key", size.alias("size")), BLOCK_BYTES)
 
 
+BLOCKS_BY_RUN_SQL = f"""
+WITH RECURSIVE {LOG},
+E AS (SELECT run, key, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) = 1),
+S AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY key) AS i, key, 1 + (k >= 128)::INT + (k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v AS size FROM E),
+B AS (SELECT run, i, key, 0 AS block, size AS total FROM S WHERE i = 1
+      UNION ALL SELECT S.run, S.i, S.key, CASE WHEN B.total >= {BLOCK_BYTES} THEN B.block + 1 ELSE B.block END, CASE WHEN B.total >= {BLOCK_BYTES} THEN S.size ELSE B.total + S.size END
+      FROM B JOIN S ON S.run = B.run AND S.i = B.i + 1)
+SELECT CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS block, min(key) AS first_key, count(*) AS entries, CAST(max(total) AS BIGINT) AS bytes FROM B GROUP BY run, block"""
+
+
+@query(BLOCKS_BY_RUN_SQL)
+def q_blocks_by_run(spark, sf_dir):
+    """The data blocks of every run; q_blocks, as its SQL has it, gives run 0 alone."""
+    newest = F.max_by("value", "seq").alias("value")
+    state = changes(spark, sf_dir).groupBy("run", "key").agg(newest)
+    size = folds.encoded_size(F.octet_length("key"), F.octet_length("value"))
+    return folds.blocks(state.select("run", "key", size.alias("size")), BLOCK_BYTES)
+
+
 GENERATIONS_SQL = f"""{LOG},
 S AS (SELECT seq, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v, coalesce(lag(seq) OVER (PARTITION BY key ORDER BY seq), -1) AS prev, row_number() OVER (ORDER BY seq) AS i FROM L),
 G AS (SELECT i, seq, 0 AS generation, seq AS first_seq, k + v + {folds.ENTRY_BYTES} AS total FROM S WHERE i = 1
