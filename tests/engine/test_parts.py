@@ -131,3 +131,40 @@ def test_rotation_charges(spark):
     log = spark.createDataFrame([(0, i, k, 1, v) for i, (k, v) in enumerate([("a", 9), ("a", 9), ("b", 9), ("a", 9), ("c", 1)])], "log int, seq long, key string, key_bytes int, value_bytes int")
     got = [(r.generation, r.first_seq, r.last_seq, r.entries, r.bytes) for r in folds.rotations(log, 100).collect()]
     assert got == [(0, 0, 2, 3, 109), (1, 3, 4, 2, 92)]
+
+
+@given(st.lists(st.binary(max_size=20), max_size=30))
+def test_hashes_of_many_keys(many):
+    assert hashing.hash64_all(many).tolist() == [hashing.hash64(k) for k in many]
+
+
+def test_probe_positions_by_plain_arithmetic():
+    for key in (b"", b"a", b"foo", bytes(range(40))):
+        state = hashing.hash64(key)
+        stride = (state >> 17 | state << 15) & hashing.HALF
+        want = [((state + i * stride & hashing.WORD) % 88) & hashing.HALF for i in range(6)]
+        assert hashing.positions([key], 88, 6)[0].tolist() == want
+
+
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_range_joins_against_all_pairs(spark, monkeypatch, bound):
+    monkeypatch.setattr(levels, "BROADCAST_RUNS", bound)
+    monkeypatch.setattr(levels, "CUTS", 8)
+    rng = random.Random(6)
+    runs = []
+    for i in range(60):
+        low = rng.randrange(1000)
+        runs.append((i, f"{low:04d}", f"{low + rng.choice([0, 5, 300]):04d}"))
+    table = spark.createDataFrame(runs, "run long, smallest string, largest string")
+    probes = [f"{rng.randrange(1300):04d}" for _ in range(80)] + ["", "~"]
+    got = levels.candidate_join(spark.createDataFrame([(p,) for p in probes], "key string"), table).collect()
+    assert sorted((r.key, r.run) for r in got) == sorted((p, i) for p in probes for i, low, high in runs if low <= p <= high)
+    pairs = levels.overlap_join(table.where("run < 20"), table.where("run >= 20")).collect()
+    assert sorted(map(tuple, pairs)) == sorted((a, b) for a, al, ah in runs[:20] for b, bl, bh in runs[20:] if not (al > bh or ah < bl))
+
+
+def test_generations_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(wal, "STRETCH", 7)
+    some = [g for g in range(40) if g % 5 != 2]
+    got = wal.generations(spark.createDataFrame([(g,) for g in some], "generation long")).orderBy("generation").collect()
+    assert [tuple(r) for r in got] == [(g, 2 * k + 1, 2 * k + 2) for k, g in enumerate(some)]

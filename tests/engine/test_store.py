@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog import model
 from tidelog.engine import Store
-from tidelog.model import Conflict, Corruption, InvalidArgument, NotFound, Options
+from tidelog.model import Conflict, Corruption, InvalidArgument, NotFound, Options, ReadOptions
 
 
 @pytest.fixture()
@@ -243,3 +243,30 @@ def test_random_operations_against_a_dictionary(spark, path, seed):
         else:
             assert got[k][0].startswith("NotFound")
     assert got[b"none"][0] == "NotFound: not found"
+
+
+def test_cached_runs_keep_to_the_options(spark, path):
+    db = Store.open(spark, path, Options(max_open_files=2))
+    for part in ("abc", "mno", "xyz"):
+        db.write([(c, c) for c in part])
+        db.flush()
+    assert not db.cache.held and db.get("n", ReadOptions(fill_cache=True)) == b"n" and len(db.cache.held) == 1
+    assert "InMemoryTableScan" in db._changes(b"n", b"n")._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):
+        assert len(rows(db.scan(options=ReadOptions(fill_cache=True)))) == 9 and len(db.cache.held) == 2
+    db.compact_range()
+    assert not db.cache.held and len(rows(db.scan())) == 9
+    small = Store.open(spark, path, Options(block_cache_size=1))
+    assert small.get("a", ReadOptions(fill_cache=True)) == b"a" and not small.cache.held
+    db.scan(options=ReadOptions(fill_cache=True))
+    db.close()
+    assert not db.cache.held
+
+
+def test_bloom_bits_set_the_size_of_the_filter(spark, tmp_path):
+    sizes = []
+    for bits in (0, 4, 16):
+        db = Store.open(spark, f"file://{tmp_path}/{bits}", Options(bloom_bits_per_key=bits))
+        db.write([(f"key{i:05d}", "v") for i in range(3000)])
+        sizes.append(db.flush().file_size)
+    assert sizes[0] + 1000 < sizes[1] and sizes[1] + 2000 < sizes[2]

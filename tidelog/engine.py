@@ -8,13 +8,15 @@ writer at a time: the loser of a race gets Conflict and may reopen and retry.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import keys
-from tidelog.model import DELETE, PUT, InvalidArgument, NotFound, Options, ReadOptions, Run, Version, WriteOptions
+from tidelog.model import DELETE, PUT, InvalidArgument, NotFound, Options, ReadOptions, Run, Version
 from tidelog.operators import levels, merge
 from tidelog.sources import tables
 from tidelog.sources.files import Files
@@ -24,11 +26,39 @@ from tidelog.sources.manifest import Manifest
 BROADCAST_KEYS = 100_000
 
 
+class RunCache:
+    """Runs that reads keep in Spark's cache, the least recently used going first where
+    they exceed the bytes or the number allowed. Runs never change, so none grows stale."""
+
+    def __init__(self, spark: SparkSession, options: Options):
+        self.spark, self.most_bytes, self.most_runs = spark, options.block_cache_size, options.max_open_files
+        self.held: OrderedDict[str, tuple[int, DataFrame]] = OrderedDict()
+
+    def frame(self, run: Run, fill: bool) -> DataFrame | None:
+        """The cached run; None if it isn't and shall not or cannot be."""
+        if run.path in self.held:
+            self.held.move_to_end(run.path)
+        elif not fill or run.file_size > self.most_bytes:
+            return None
+        else:
+            self.held[run.path] = run.file_size, tables.read_changes(self.spark, [run.path]).persist()
+            while sum(n for n, _ in self.held.values()) > self.most_bytes or len(self.held) > self.most_runs:
+                self.drop(next(iter(self.held)))
+        return self.held[run.path][1]
+
+    def drop(self, path: str) -> None:
+        self.held.pop(path)[1].unpersist()
+
+    def clear(self) -> None:
+        for path in list(self.held):
+            self.drop(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options, manifest: Manifest, version: Version):
         self.spark, self.path, self.options = spark, path, options
         self.files, self.manifest, self.version = manifest.files, manifest, version
-        self._cached: list[DataFrame] = []
+        self.cache = RunCache(spark, options)
 
     # -- life cycle
 
@@ -57,10 +87,8 @@ class Store:
         self.close()
 
     def close(self) -> None:
-        """Nothing is pending; only caches are dropped."""
-        for frame in self._cached:
-            frame.unpersist()
-        self._cached.clear()
+        """Nothing is pending, for a commit is durable; only the cache is dropped."""
+        self.cache.clear()
 
     def refresh(self) -> Version:
         """Moves to the newest published version."""
@@ -69,6 +97,8 @@ class Store:
 
     def _commit(self, **changes) -> None:
         self.version = self.manifest.commit(self.version, **changes)
+        for path in self.cache.held.keys() - {r.path for r in self.version.runs}:
+            self.cache.drop(path)
 
     # -- writes
 
@@ -109,55 +139,60 @@ class Store:
         """Deletes (key) rows; a key that does not exist is no error."""
         return self.apply(rows.withColumn("op", F.lit(DELETE)).withColumn("value", F.lit(None).cast("binary")), order)
 
-    def write(self, changes: Iterable[tuple[bytes | str, bytes | str | None]], options: WriteOptions = WriteOptions()) -> int:
-        """Commits (key, value) pairs in order as one batch; a value of None deletes."""
+    def write(self, changes: Iterable[tuple[bytes | str, bytes | str | None]]) -> int:
+        """Commits (key, value) pairs in order as one batch, durably, as all writes; a
+        value of None deletes."""
         rows = [(keys.as_bytes(k), DELETE if v is None else PUT, None if v is None else keys.as_bytes(v), i) for i, (k, v) in enumerate(changes)]
         return self.apply(self.spark.createDataFrame(rows, "key binary, op byte, value binary, i long"), "i")
 
-    def put(self, key: bytes | str, value: bytes | str, options: WriteOptions = WriteOptions()) -> None:
-        self.write([(key, value)], options)
+    def put(self, key: bytes | str, value: bytes | str) -> None:
+        self.write([(key, value)])
 
-    def delete(self, key: bytes | str, options: WriteOptions = WriteOptions()) -> None:
-        self.write([(key, None)], options)
+    def delete(self, key: bytes | str) -> None:
+        self.write([(key, None)])
 
     # -- reads
 
-    def _changes(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+    def _read(self, runs: list[Run], options: ReadOptions) -> DataFrame:
+        """The changes of all segments and of some runs, cached runs from the cache."""
+        frames = {r.path: self.cache.frame(r, options.fill_cache) for r in runs}
+        plain = [s.path for s in self.version.segments] + [p for p, frame in frames.items() if frame is None]
+        return reduce(DataFrame.unionByName, [f for f in frames.values() if f is not None], tables.read_changes(self.spark, plain))
+
+    def _changes(self, low: bytes | None = None, high: bytes | None = None, options: ReadOptions = ReadOptions()) -> DataFrame:
         """Changes that may concern [low, high], from segments and from the runs whose
         bounds meet it; both conditions reach the scan."""
         limit = [None if k is None else k.hex() for k in (low, high)]
-        runs = [r for r in self.version.runs if r.overlaps(*limit)]
-        paths = [s.path for s in self.version.segments] + [r.path for r in levels.run_order(runs)]
-        return tables.read_changes(self.spark, paths).where(keys.in_range(F.col("key"), low, high, closed=True))
+        runs = levels.run_order(r for r in self.version.runs if r.overlaps(*limit))
+        return self._read(runs, options).where(keys.in_range(F.col("key"), low, high, closed=True))
 
     def lookup(self, key: bytes | str, options: ReadOptions = ReadOptions()) -> DataFrame:
         """(key, status, value) of one key, from the files that may hold it."""
         key = keys.as_bytes(key)
-        return merge.lookup(self._point(key), self.spark.createDataFrame([(key,)], "key binary"))
+        return merge.lookup(self._point(key, options), self.spark.createDataFrame([(key,)], "key binary"))
 
-    def _point(self, key: bytes) -> DataFrame:
+    def _point(self, key: bytes, options: ReadOptions) -> DataFrame:
         """Changes of one key, from the segments and the runs whose bounds hold it."""
-        paths = [s.path for s in self.version.segments] + [r.path for r in levels.candidates(self.version.runs, key)]
-        return tables.read_changes(self.spark, paths).where(F.col("key") == keys.literal(key))
+        return self._read(levels.candidates(self.version.runs, key), options).where(F.col("key") == keys.literal(key))
 
     def get(self, key: bytes | str, options: ReadOptions = ReadOptions()) -> bytes:
         """The key's value; raises NotFound("deleted") or NotFound("not found")."""
         key = keys.as_bytes(key)
-        newest = self._point(key).agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).first().v
+        newest = self._point(key, options).agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).first().v
         if newest is None:
             raise NotFound("not found")
         if newest.op != PUT:
             raise NotFound("deleted")
         return bytes(newest.value)
 
-    def multi_get(self, probes: DataFrame) -> DataFrame:
+    def multi_get(self, probes: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
         """(key, status, value) for each row of probes (key). Few keys bound the files
         and are sent to all tasks; many are joined by shuffle."""
         probes = probes.select(F.col("key").cast("binary").alias("key"))
         bounds = probes.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
         if not bounds.n:
             return merge.lookup(tables.read_changes(self.spark, []), probes)
-        found = self._changes(bytes(bounds.low) if bounds.low is not None else None, bytes(bounds.high) if bounds.high is not None else None)
+        found = self._changes(bytes(bounds.low) if bounds.low is not None else None, bytes(bounds.high) if bounds.high is not None else None, options)
         small = bounds.n <= BROADCAST_KEYS
         distinct = probes.distinct()
         wanted = found.join(F.broadcast(distinct) if small else distinct, "key", "left_semi")
@@ -166,16 +201,16 @@ class Store:
     def scan(self, low: bytes | str | None = None, high: bytes | str | None = None, options: ReadOptions = ReadOptions()) -> DataFrame:
         """(key, value) of the live keys with low <= key < high, in order."""
         low, high = (None if k is None else keys.as_bytes(k) for k in (low, high))
-        found = self._changes(low, high).where(keys.in_range(F.col("key"), low, high))
+        found = self._changes(low, high, options).where(keys.in_range(F.col("key"), low, high))
         return merge.live(found).orderBy("key")
 
-    def prefix(self, prefix: bytes | str) -> DataFrame:
+    def prefix(self, prefix: bytes | str, options: ReadOptions = ReadOptions()) -> DataFrame:
         prefix = keys.as_bytes(prefix)
-        return self.scan(prefix, keys.successor(prefix))
+        return self.scan(prefix, keys.successor(prefix), options)
 
-    def live(self) -> DataFrame:
+    def live(self, options: ReadOptions = ReadOptions()) -> DataFrame:
         """(key, value) of all live keys, in no order."""
-        return merge.live(self._changes())
+        return merge.live(self._changes(options=options))
 
     def snapshot(self) -> DataFrame:
         """(key, op, value, seq) of all keys in order, tombstones included."""
@@ -186,12 +221,6 @@ class Store:
         for reading."""
         return Store(self.spark, self.path, self.options, self.manifest, self.manifest.load(version))
 
-    def cached(self, frame: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
-        """The frame, kept by Spark until close() if options ask for that."""
-        if options.fill_cache:
-            self._cached.append(frame.persist())
-        return frame
-
     # -- maintenance
 
     def flush(self) -> Run | None:
@@ -201,7 +230,7 @@ class Store:
             return None
         state = merge.latest(tables.read_changes(self.spark, [s.path for s in segments]))
         number = self.version.next_number
-        run = tables.write_run(state, self.files, self.path, 0, number, self.options, sum(s.bytes for s in segments))
+        run = tables.write_run(state, self.files, self.path, 0, number, self.options, sum(s.bytes for s in segments), sum(s.rows for s in segments))
         self._commit(next_number=number + 1, segments=(), runs=(*self.version.runs, run))
         if self.options.auto_compact:
             self.maybe_compact()
@@ -228,7 +257,7 @@ class Store:
         blockers = [r for r in left if r.min_seq < newest] if self.options.drop_tombstones else None
         state = merge.compact(tables.read_changes(self.spark, [r.path for r in inputs]), blockers)
         number = self.version.next_number
-        run = tables.write_run(state, self.files, self.path, target, number, self.options, sum(r.file_size for r in inputs))
+        run = tables.write_run(state, self.files, self.path, target, number, self.options, sum(r.file_size for r in inputs), sum(r.entries for r in inputs))
         self._commit(next_number=number + 1, runs=tuple(left) + ((run,) if run else ()))
         return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.model import DELETED, MISSING, OK, PUT
 
 def as_bytes(key: bytes | str) -> bytes:
     return key.encode() if isinstance(key, str) else bytes(key)
@@ -49,8 +50,11 @@ def remove_prefix(column: Column, count: int) -> Column:
     return F.substring(column, count + 1, 2**31 - 1)
 
 
+def status_of(op: int | None) -> str:
+    """The lookup status by the operation of a key's newest change, if it has one."""
+    return MISSING if op is None else OK if op == PUT else DELETED
+
+
 def status(found: Column, op: Column) -> Column:
     """The lookup status of a key's newest change."""
-    from tidelog.model import DELETED, MISSING, OK, PUT
-
     return F.when(~found, MISSING).when(op == PUT, OK).otherwise(DELETED)

@@ -47,8 +47,11 @@ class Options:
     error_if_exists: bool = False
     write_buffer_size: int = 4 << 20
     block_size: int = 4 << 10
+    #: Bytes of run files that reads may keep cached.
     block_cache_size: int = 64 << 20
+    #: Sets the false-positive rate of the runs' bloom filters; 0 writes none.
     bloom_bits_per_key: int = 10
+    #: Runs that reads may keep cached.
     max_open_files: int = 500
     num_levels: int = 7
     #: More runs than this on level 0 call for a compaction.
@@ -72,14 +75,9 @@ class Options:
 
 @dataclass(frozen=True)
 class ReadOptions:
-    #: Keep what a read scans in Spark's cache.
-    fill_cache: bool = True
-
-
-@dataclass(frozen=True)
-class WriteOptions:
-    #: Commits are always durable; the field is there for callers that set it.
-    sync: bool = True
+    #: Keep the runs that a read needs in Spark's cache, as far as the options of the
+    #: store allow. Off by default: a cached run is scanned whole once.
+    fill_cache: bool = False
 
 
 @dataclass(frozen=True)

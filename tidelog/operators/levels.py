@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import keys
@@ -58,14 +58,54 @@ def run_table(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.countDistinct("key").alias("entries"))
 
 
+#: Rows of a run table that a join may send to all tasks, counted first.
+BROADCAST_RUNS = 10_000
+#: Cuts of the key space where a run table is larger.
+CUTS = 256
+
+
+def cuts(table: DataFrame, rows: int) -> list:
+    """About CUTS keys that split the runs' smallest keys evenly, from a bounded sample."""
+    share = int(min(1.0, 16 * CUTS / rows) * (1 << 30))
+    found = [r[0] for r in table.where(F.pmod(F.xxhash64("run", "smallest"), F.lit(1 << 30)) < share).select("smallest").orderBy("smallest").toLocalIterator()]
+    return sorted({found[len(found) * i // CUTS] for i in range(1, CUTS)}) if found else []
+
+
+def piece(key: Column, edges: list) -> Column:
+    """The piece of the key space that holds a key: how many cuts are not above it."""
+    values = F.array(*[F.lit(bytearray(e) if isinstance(e, bytes | bytearray) else e) for e in edges])
+    return F.size(F.filter(values, lambda e: e <= key)) if edges else F.lit(0)
+
+
+def in_pieces(low: str, high: str, edges: list) -> Column:
+    """All pieces that a range meets."""
+    return F.sequence(piece(F.col(low), edges), piece(F.col(high), edges))
+
+
 def candidate_join(probes: DataFrame, table: DataFrame) -> DataFrame:
-    """(key, run) for each probe and each run whose range holds it. The run table has one
-    row per run, so it is the side that Spark may broadcast."""
-    return probes.join(table, F.col("key").between(F.col("smallest"), F.col("largest")), "inner")
+    """(key, run) for each probe and each run whose range holds it. A run table that was
+    counted and found small is sent to all tasks; a larger one is cut at pieces of the
+    key space, which probes and runs are then joined by."""
+    inside = F.col("key").between(F.col("smallest"), F.col("largest"))
+    rows = table.count()
+    if rows <= BROADCAST_RUNS:
+        return probes.join(F.broadcast(table), inside)
+    edges = cuts(table, rows)
+    cut = table.withColumn("__piece", F.explode(in_pieces("smallest", "largest", edges)))
+    return probes.withColumn("__piece", piece(F.col("key"), edges)).join(cut, "__piece").where(inside).drop("__piece")
 
 
 def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of runs whose ranges meet; both are run tables."""
+    """Pairs of runs whose ranges meet; both are run tables. The right one is sent to all
+    tasks if counted as small; else both are cut at pieces of the key space, and a pair
+    counts in the first piece that both meet."""
     a = left.select(F.col("run").alias("run_a"), F.col("smallest").alias("sa"), F.col("largest").alias("la"))
     b = right.select(F.col("run").alias("run_b"), F.col("smallest").alias("sb"), F.col("largest").alias("lb"))
-    return a.join(b, keys.overlap(F.col("sa"), F.col("la"), F.col("sb"), F.col("lb"))).select("run_a", "run_b")
+    meet = keys.overlap(F.col("sa"), F.col("la"), F.col("sb"), F.col("lb"))
+    rows = right.count()
+    if rows <= BROADCAST_RUNS:
+        return a.join(F.broadcast(b), meet).select("run_a", "run_b")
+    edges = cuts(right, rows)
+    cut = lambda t, low, high: t.withColumn("__piece", F.explode(in_pieces(low, high, edges)))
+    both = cut(a, "sa", "la").join(cut(b, "sb", "lb"), "__piece").where(meet)
+    return both.where(F.col("__piece") == piece(F.greatest("sa", "sb"), edges)).select("run_a", "run_b")

@@ -23,8 +23,18 @@ def discarded(records: DataFrame, ok: str = "ok") -> DataFrame:
     return both.withColumn("discarded", F.col("records") - F.col("kept"))
 
 
+#: Generations numbered together.
+STRETCH = 100_000
+
+
 def generations(log: DataFrame) -> DataFrame:
     """Numbers for files in the order they are made: log k, then its table, and so on;
-    (generation, log_number, table_number) from (generation) rows, one per rotation."""
-    order = F.row_number().over(Window.orderBy("generation")).cast("long")
-    return log.select("generation", (2 * order - 1).alias("log_number"), (2 * order).alias("table_number"))
+    (generation, log_number, table_number) from (generation) rows, one per rotation.
+    Rows are numbered within stretches of generations, after the sum of all stretches
+    before, so no task orders more than a stretch, or one row for each."""
+    rows = log.select("generation", F.floor(F.col("generation") / STRETCH).alias("stretch"))
+    before = F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy("generation"))
+    order = (F.col("place") + F.col("before")).cast("long")
+    return rows.withColumn("place", place).join(offsets, "stretch").select("generation", (2 * order - 1).alias("log_number"), (2 * order).alias("table_number"))

@@ -162,9 +162,13 @@ class TableFile:
         return next(((op, v) for k, op, v in read_block(self.data[offset : offset + size]) if k == key), None)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
 def _files(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
     """Rows of whole files; one file is one record, and one task's work."""
-    out = to_arrow_schema(T._parse_datatype_string(schema))
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,8 +29,12 @@ def write_segment(changes: DataFrame, files: Files, root: str, number: int) -> S
     changes.select(*CHANGES.fieldNames()).write.parquet(path)
     written = changes.sparkSession.read.schema(LOOSE).parquet(path)
     known = F.col("key").isNotNull() & F.col("seq").isNotNull() & F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False))
-    stats = written.agg(F.count("*").alias("n"), F.count(F.when(~known, 1)).alias("bad"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    twice = not stats.bad and stats.n > 1 and not written.groupBy("key", "seq").count().where("count > 1").isEmpty()
+    each = written.groupBy("key", "seq").agg(F.count("*").alias("n"), F.count(F.when(~known, 1)).alias("bad"))
+    stats = each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.max("n").alias("most"),
+        F.min("seq").alias("low"), F.max("seq").alias("high"),
+    ).first()
+    twice = not stats.bad and stats.n > 0 and stats.most > 1
     if not stats.n or stats.bad or twice:
         files.delete(path)
     if stats.bad:
@@ -40,14 +44,17 @@ def write_segment(changes: DataFrame, files: Files, root: str, number: int) -> S
     return Segment(number, path, stats.n, files.size(path), stats.low, stats.high) if stats.n else None
 
 
-def write_run(state: DataFrame, files: Files, root: str, level: int, number: int, options: Options, bytes_in: int) -> Run | None:
+def write_run(state: DataFrame, files: Files, root: str, level: int, number: int, options: Options, bytes_in: int, rows_in: int) -> Run | None:
     """Writes one version a key as a run: range-partitioned and sorted by key, with a
-    bloom filter on it. Bounds come from an aggregate over what was written, never from
+    bloom filter on it, sized for the keys of a file at most, whose rate of false
+    positives is that of an ideal filter with the given bits per key. Bounds come from an aggregate over what was written, never from
     file names. None if there is nothing to write."""
     path = f"{root}/level={level}/number={number:012d}-{uuid.uuid4().hex[:8]}"
     parts = max(1, -(-bytes_in // options.target_file_size))
     rows = state.select(*CHANGES.fieldNames()).repartitionByRange(parts, "key").sortWithinPartitions("key")
     writer = rows.write.option("parquet.page.size", str(options.block_size)).option("parquet.bloom.filter.enabled#key", str(options.bloom_bits_per_key > 0).lower())
+    if options.bloom_bits_per_key:
+        writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, -(-rows_in // parts)))).option("parquet.bloom.filter.fpp#key", str(max(1e-9, 0.6185**options.bloom_bits_per_key)))
     writer.option("parquet.block.size", str(max(options.block_size * 256, 8 << 20))).parquet(path)
     stats = read_changes(state.sparkSession, [path]).agg(
         F.count("*").alias("n"), F.sum((F.col("op") == DELETE).cast("long")).alias("deletes"), F.min("seq").alias("low"), F.max("seq").alias("high"),
