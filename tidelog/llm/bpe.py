@@ -25,8 +25,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm.common import arrow_schema, documents, frugal, small_batches
+from tidelog.llm.common import arrow_schema, documents, frugal, only, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pre-tokenizer's published pattern.
@@ -111,7 +112,8 @@ class Codec:
     @functools.cached_property
     def merger(self):
         """The library's merge loop, or the one below."""
-        return self.library._core_bpe.encode_single_piece if self.library else self.merge
+        core = getattr(self.library, "_core_bpe", None)
+        return getattr(core, "encode_single_piece", self.merge)
 
     @functools.cached_property
     def memory(self) -> Memory:
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], schema=out)
 
-    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(frugal(run), "doc_id long, ids array<long>")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -268,7 +270,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.select(docs.doc_id.cast("long"), docs.text).mapInArrow(frugal(run), schema)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

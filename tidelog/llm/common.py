@@ -97,9 +97,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set, one for this machine."""
+    """The folder all executors share; only on a local master, where driver and
+    executors are one process, may it be unset, and is then one of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         _OWN[app] = path
@@ -141,6 +144,25 @@ def steady(df: DataFrame) -> DataFrame:
     return df if nodes <= _STEADY else staged(df, "steady")
 
 
+def place_of(columns: list[str], name: str) -> int:
+    """Where a column stands: the first of exactly this name, or else of any case."""
+    same = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"there is no column {name}")
+    return same[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: by place, so names with dots, names that
+    differ in case only and names that an operator uses itself do no harm."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, whatever others there are."""
+    return numbered(df).select(*[F.col(f"c{place_of(df.columns, n)}").alias(n) for n in names])
+
+
 def row_key() -> F.Column:
     """A row id from the scan's partition and position, for steady inputs: a rerun task
     reads the same split in the same order, so it gives the same ids again."""

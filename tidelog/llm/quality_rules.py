@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents
+from tidelog.llm.common import documents, only
 
 WINDOW = 5
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -81,7 +81,7 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """The counts that rules refer to, one row per document."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
+    text = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     split = text.select(
         "doc_id",
         "t",
