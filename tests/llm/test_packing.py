@@ -8,6 +8,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import subprocess
+import sys
+
 from tidelog.llm import bpe, packing
 
 
@@ -62,3 +65,48 @@ def test_pack(spark):
         assert at <= 2048
     assert sum(r.length for r in got) / (2048 * len(by_sequence)) > 0.9
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def plain_difference(sizes, windows):
+    """Karmarkar-Karp with all windows of each partial partition written out."""
+    parts = [sorted([s] + [0] * (windows - 1), reverse=True) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    return parts[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10_000), min_size=1, max_size=40, unique=True), st.integers(1, 6))
+def test_differencing_against_all_windows_written_out(sizes, windows):
+    found = [sum(sizes[i] for i in w) for w in packing.difference(sizes, windows)]
+    want = [x for x in plain_difference(sizes, windows) if x]
+    assert sum(found) == sum(want) and max(found) - (min(found) if len(found) == windows else 0) <= max(sizes)
+    if windows == 2:
+        assert sorted(found) == sorted(want)
+
+
+def test_many_small_pieces_in_bounded_memory():
+    code = (
+        "import numpy as np, resource, sys; from tidelog.llm import packing; w = packing.windows_for(np.ones(600_000, int)); "
+        "assert len(w) == 293 and sum(map(len, w)) == 600_000; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": ":".join(sys.path)}, check=True)
+    assert int(out.stdout) < 500_000
+
+
+def test_groups_are_bounded_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    texts = [None] * 400 + [" the" * (2047 + 2048 * 5)] * 20 + ["x " * 30_000]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    got = packing.pack(docs).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 5
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and len({(r.doc_id, r.start) for r in got}) == len(got)
+    ends = defaultdict(int)
+    for r in got:
+        ends[r.doc_id] += r.length
+    assert all(ends[r.doc_id] == r.doc_tokens for r in got) and ends[0] == 1
