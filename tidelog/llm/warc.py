@@ -2,14 +2,17 @@
 
 Pages become WARC/1.1 records, each a gzip member of its own; a page whose payload
 equals that of an earlier page becomes a revisit. Reading an archive verifies payload
-digests and yields its captures as a locally sorted run. Runs are merged externally: the
-key space (URL key, timestamp, page id) is split into ranges, and in each range the
-slices of all runs pass through a loser tree, which leaves the captures of every URL in
-order of time, over range after range. The key holds more than the URL, so a URL or host
-with very many captures spreads over ranges.
-
-Archives are written under the shared folder with names that follow from the task and
-are published by a rename, so a task that runs again leaves the same files.
+digests and leaves its captures as a locally sorted run, a file of small batches. Runs
+are merged externally: a loser tree streams them from their files, a batch of each at a
+time. While there are more runs than a merge may open, groups of them are merged into
+longer ones. The key space (URL key, timestamp, page id) is split into ranges, of which
+each task reads its slice of every run by a binary search, so the captures of every URL
+come in order of time, over range after range. The key holds more than the URL, so a URL
+or host with very many captures spreads over ranges.
+
+Archives and runs are written under the shared folder with the attempt of their task in
+their names, and count only if the manifest that the task returns lists them: a task that
+runs twice, or in two places at once, leaves files that nobody reads.
 
 Defined results: a null html is the empty payload; empty payloads equal one another; a
 payload of any length is one record. Of repeated page ids the first in the scan counts
@@ -20,11 +23,13 @@ empty table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import bisect
 import datetime
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 
 import pyarrow as pa
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import arrow_schema, fresh_path, frugal, row_key, shuffle_parts, small_batches, staged, steady
+from tidelog.llm.common import arrow_schema, fresh_path, frugal, only, row_key, shuffle_parts, small_batches, staged, steady
 from tidelog.llm.exact_dedup import BROADCAST_ROWS
 
 #: Payloads of fewer bytes are never revisits.
@@ -41,10 +46,14 @@ LEAST_BYTES = 0
 #: Compressed bytes after which an archive is closed and the next one begun.
 ARCHIVE_BYTES = 32 << 20
 GZIP_LEVEL = 4
-RANGE_ROWS = 200_000
+#: Captures of a range at most and at least, about; of a batch of a run.
+RANGE_ROWS, LEAST_RANGE_ROWS, RUN_BATCH = 1_000_000, 2000, 128
+#: Runs that a merge opens at once, about; sampled keys for each range.
+FAN_IN, RANGE_KEYS = 256, 64
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
+RUNS = "range int, run string, captures long"
 INDEX = (
     "url_key string, timestamp string, page_id long, row long, record_type string, payload_bytes long, payload_digest string, "
     "refers_to long, archive string, offset long, length long"
@@ -146,7 +155,7 @@ def http_payload(block: bytes) -> tuple[int, bytes]:
 def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(row, first_page, first_row) of the pages whose payload an earlier page has."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    digests = pages.select(row_key().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
+    digests = only(pages, "page_id", "html").select(row_key().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     digests = digests.where(F.col("bytes") >= least_bytes)
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")).alias("first")
     copied = staged(digests.groupBy("digest", "bytes").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first"), "copied")
@@ -159,7 +168,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     pages = steady(pages)
     later = staged(revisits(pages, least_bytes).withColumnRenamed("row", "r"), "revisits")
     small = later.count() <= BROADCAST_ROWS
-    rows = pages.select(row_key().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = only(pages, "page_id", "url", "html").select(row_key().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     planned = rows.join(F.broadcast(later) if small else later, rows.row == later.r, "left").select("row", "page_id", "url", "html", "first_page", "first_row")
     out = arrow_schema(MANIFEST)
 
@@ -173,14 +182,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
         def close() -> pa.RecordBatch:
             stream.close()
-            store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count]), pa.array([size])], schema=out)
 
         for batch in batches:
             for r in batch.to_pylist():
                 if stream is None:
-                    name = f"pages-{part:06d}-{number:04d}.warc.gz"
-                    stream = store.open_output_stream(f"{root}/.{name}.{attempt}", compression=None)
+                    name = f"pages-{part:06d}-{attempt}-{number:04d}.warc.gz"
+                    stream = store.open_output_stream(f"{root}/{name}", compression=None)
                     info = record("warcinfo", {"WARC-Record-ID": f"<urn:archive:{name}>", "WARC-Date": capture_time(0), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
                     stream.write(info)
                     count, size, number = 0, len(info), number + 1
@@ -221,19 +229,49 @@ def read_run(stream, name: str) -> list[dict]:
     return sorted(out, key=order_of)
 
 
+def write_run(store: fs.FileSystem, path: str, rows: Iterable[dict], schema: pa.Schema) -> int:
+    """Writes captures in batches and returns how many there are."""
+    count = 0
+    with store.open_output_stream(path, compression=None) as out, pa.ipc.new_file(out, schema) as writer:
+        for batch in itertools.batched(rows, RUN_BATCH):
+            writer.write_batch(pa.RecordBatch.from_pylist(list(batch), schema=schema))
+            count += len(batch)
+    return count
+
+
+def slice_of(store: fs.FileSystem, path: str, low: tuple | None, high: tuple | None) -> Iterator[dict]:
+    """The captures of a run with low <= key < high, batch by batch; None is unbounded."""
+    with store.open_input_file(path) as file:
+        reader = pa.ipc.open_file(file)
+        first = lambda i: order_of(reader.get_batch(i).slice(0, 1).to_pylist()[0])
+        batches = range(reader.num_record_batches)
+        begin = 0 if low is None else max(bisect.bisect_left(batches, low, key=first) - 1, 0)
+        for i in batches[begin:]:
+            for r in reader.get_batch(i).to_pylist():
+                key = order_of(r)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield r
+
+
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """The locally sorted capture runs of the listed archives, one after another."""
-    out = arrow_schema(INDEX)
+    """The locally sorted run of each listed archive, as a file: (range, run, captures);
+    range -1 is the whole key space."""
+    out, index = arrow_schema(RUNS), arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    yield pa.RecordBatch.from_pylist(read_run(stream, name), schema=out)
+                    rows = read_run(stream, name)
+                made = f"{name}.{attempt}.run"
+                yield pa.RecordBatch.from_pylist([{"range": -1, "run": made, "captures": write_run(store, f"{root}/{made}", rows, index)}], schema=out)
 
     parts = max(shuffle_parts(manifest.sparkSession), 1)
-    return manifest.select("path").repartition(parts).mapInArrow(frugal(run), INDEX)
+    return staged(manifest.select("path").repartition(parts).mapInArrow(frugal(run), RUNS), "runs")
 
 
 class LoserTree:
@@ -279,31 +317,70 @@ class LoserTree:
             self.winner = run
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """The captures of all runs in one global order, range after range."""
-    out = arrow_schema(INDEX)
-    runs = staged(runs, "runs")
-    parts = max(shuffle_parts(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
-    ranges = runs.repartitionByRange(parts, "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "row")
+def range_bounds(runs: DataFrame, folder: str, parts: int, captures: int) -> list[tuple]:
+    """Keys that split the captures into about `parts` ranges of about the same size,
+    from a sample of the first keys of the runs' batches, of bounded size."""
+    schema = "url_key string, timestamp string, page_id long, row long"
+    out = arrow_schema(schema)
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[dict]] = {}
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as file:
+                    reader = pa.ipc.open_file(file)
+                    keys = [reader.get_batch(i).select(names).slice(0, 1) for i in range(reader.num_record_batches)]
+                    yield from (pa.RecordBatch.from_arrays(k.columns, schema=out) for k in keys)
+
+    share = int(min(1.0, RANGE_KEYS * parts * RUN_BATCH / max(captures, 1)) * (1 << 30))
+    keys = runs.select("run").mapInArrow(frugal(run), schema).where(F.pmod(F.xxhash64("row", "page_id"), F.lit(1 << 30)) < share)
+    found = sorted(map(order_of, keys.toArrow().to_pylist()))
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+def merged(runs: DataFrame, folder: str) -> DataFrame:
+    """The captures of all runs in one global order, range after range."""
+    out, listed = arrow_schema(INDEX), arrow_schema(RUNS)
+    size = runs.agg(F.count("*").alias("runs"), F.sum("captures").alias("captures")).first()
+    parts, captures, count = shuffle_parts(runs.sparkSession), size.captures or 0, size.runs
+    wanted = max(-(-captures // RANGE_ROWS), min(parts, -(-captures // LEAST_RANGE_ROWS)), 1)
+    edges = [None, *range_bounds(runs, folder, wanted, captures), None]
+    ranges = len(edges) - 1
+
+    def merge(store: fs.FileSystem, root: str, at: int, names: list[str]) -> Iterator[dict]:
+        low, high = (None, None) if at < 0 else edges[at : at + 2]
+        return iter(LoserTree([slice_of(store, f"{root}/{name}", low, high) for name in sorted(names)], order_of))
+
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        attempt, made = TaskContext.get().taskAttemptId(), 0
         for batch in batches:
             for r in batch.to_pylist():
-                slices.setdefault(r["archive"], []).append(r)
-        for rows in slices.values():  # a shuffle keeps a run's order, but does not promise to
-            if any(order_of(a) > order_of(b) for a, b in zip(rows, rows[1:])):
-                rows.sort(key=order_of)
-        made = []
-        for r in LoserTree([slices[name] for name in sorted(slices)], order_of):
-            made.append(r)
-            if len(made) == 10_000:
-                yield pa.RecordBatch.from_pylist(made, schema=out)
-                made = []
-        if made:
-            yield pa.RecordBatch.from_pylist(made, schema=out)
+                name, made = f"merged-{attempt}-{made}.run", made + 1
+                yield pa.RecordBatch.from_pylist([{"range": r["range"], "run": name, "captures": write_run(store, f"{root}/{name}", merge(store, root, r["range"], r["runs"]), out)}], schema=listed)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                for rows in itertools.batched(merge(store, root, r["range"], r["runs"]), 10_000):
+                    yield pa.RecordBatch.from_pylist(list(rows), schema=out)
+
+    def planned(pieces: DataFrame, groups: int, split: bool) -> DataFrame:
+        group = F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group")
+        plan = pieces.groupBy("range", group).agg(F.collect_list("run").alias("runs")).select("range", "runs")
+        return plan.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))) if split else plan
 
-    return ranges.mapInArrow(frugal(run), INDEX)
+    whole = True
+    while count > FAN_IN:
+        count = -(-count // FAN_IN)
+        split = whole and count < parts  # too few merges of whole runs to go round
+        plan = planned(runs, count, split)
+        runs = staged(plan.repartition(max(parts, count)).mapInArrow(frugal(lengthen), RUNS), "longer")
+        whole = whole and not split
+    plan = planned(runs, 1, whole)
+    return plan.repartitionByRange(ranges, "range").sortWithinPartitions("range").mapInArrow(frugal(finish), INDEX)
 
 
 def payloads(index: DataFrame, folder: str) -> DataFrame:
@@ -327,7 +404,7 @@ def payloads(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes pages, reads them back, and returns the merged index."""
     folder = fresh_path(pages.sparkSession, "warc")
-    return merged(read_archives(write_archives(pages, folder, least_bytes), folder))
+    return merged(read_archives(write_archives(pages, folder, least_bytes), folder), folder)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
