@@ -6,8 +6,10 @@ its training texts. A text gets the language of the centroid with the highest co
 it is rejected if that cosine lies far below what training texts of like length reach.
 
 The model is fitted on a bounded sample: at most about SAMPLE_PER_LANG texts a language
-and SAMPLE_TOTAL in all, chosen by a hash of the row id, so that a language with a third
-of all rows adds no more than another. Predictions read every text whole.
+and SAMPLE_TOTAL in all, chosen by a hash of the row, so that a language with a third
+of all rows adds no more than another. Each language has the row of its least hash in
+the sample, so none is left out; only of more than SAMPLE_TOTAL languages, which cannot
+all have a row, are the most frequent learned. Predictions read every text whole.
 
 Defined results: a null text, and one without a letter, is `und` with score 0 and is
 rejected; without any training row all texts are; repeated rows are judged alike; an
@@ -17,6 +19,7 @@ empty table gives an empty table; other columns are not read, and
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,14 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, row_key, small_batches, spans_of, steady, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, only, row_key, small_batches, spans_of, steady, text_buffer
 
 BITS = 13
 WIDTHS = (2, 3)
 CENTROIDS = 3
 SAMPLE_PER_LANG, SAMPLE_TOTAL = 500, 6000
-#: Languages that a model may have; of more, the most frequent.
-MOST_LANGS = 1000
 #: A text is rejected under this share of the cosine that nearly all training texts reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.6, 0.01
 HELD_OUT_MODULUS = 5
@@ -112,18 +113,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return found
 
 
-def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, buckets, counts) of a bounded sample of docs (doc_id, text, lang)."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    if not sizes:
+class Counted(NamedTuple):
+    """A sampled text: the n-grams it has and how often, both as packed arrays."""
+
+    lang: str
+    bucket: bytes
+    n: bytes
+
+    def vector(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(self.bucket, np.uint16), np.frombuffer(self.n, np.uint32)
+
+
+def sample(docs: DataFrame) -> list[Counted]:
+    """A bounded sample of docs (doc_id, text, lang)."""
+    whole = 1 << 30
+    rows = only(steady(docs), "doc_id", "text", "lang").withColumn("row", row_key()).where("lang is not null and text is not null")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "row", F.lit("langid")), F.lit(whole)))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    sizes = counted.orderBy(F.desc("n"), "lang").limit(SAMPLE_TOTAL).toArrow()
+    if not sizes.num_rows:
         return []
-    each = min(SAMPLE_PER_LANG, max(1, SAMPLE_TOTAL // len(sizes)))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share)
-    schema = "lang string, bucket array<int>, n array<int>"
+    each = min(SAMPLE_PER_LANG, max(1, SAMPLE_TOTAL // sizes.num_rows))
+    limit = np.maximum(np.minimum(1.0, each / sizes["n"].to_numpy()) * whole, sizes["least"].to_numpy() + 1)
+    limits = docs.sparkSession.createDataFrame(pa.table({"lang": sizes["lang"], "most": pa.array(limit.astype(np.int64))}))
+    chosen = rows.join(F.broadcast(limits), "lang").where("h < most")  # at most SAMPLE_TOTAL limits
+    schema = "lang string, bucket binary, n binary"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,25 +145,28 @@ def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
             data, offsets = text_buffer(batch.column(0))
             for a, b, total in pieces(data, offsets):
                 buckets = [np.flatnonzero(t) for t in total]
-                columns = [batch.column(1).slice(a, b - a), pa.array(buckets, pa.list_(pa.int32())), pa.array([t[i] for t, i in zip(total, buckets)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+                packed = [[i.astype(np.uint16).tobytes() for i in buckets], [t[i].astype(np.uint32).tobytes() for t, i in zip(total, buckets)]]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *(pa.array(c, pa.binary()) for c in packed)], schema=out)
 
     table = chosen.select("text", "lang").mapInArrow(frugal(run), schema).toArrow()
-    return sorted(zip(table["lang"].to_pylist(), map(np.array, table["bucket"].to_pylist()), map(np.array, table["n"].to_pylist())), key=lambda r: (r[0], r[1].tolist(), r[2].tolist()))
+    return sorted(Counted(*r) for r in zip(*(table[c].to_pylist() for c in out.names)))
 
 
 def fit(docs: DataFrame) -> Model:
     """The model of docs' non-null languages."""
     small_batches(docs.sparkSession)
-    rows = [r for r in sample(docs) if len(r[1])]
+    rows = [r for r in sample(docs) if r.bucket]
     size = 1 << BITS
-    seen = np.bincount(np.concatenate([r[1] for r in rows]) if rows else [], minlength=size)
+    seen = np.zeros(size, np.int64)
+    for r in rows:
+        seen[r.vector()[0]] += 1
     idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
     langs, centroids, best, grams = [], [], [], []
-    for lang in sorted({r[0] for r in rows}):
-        own = [r for r in rows if r[0] == lang]
+    for lang, own in itertools.groupby(rows, key=lambda r: r.lang):
+        own = list(own)
         total = np.zeros((len(own), size), np.float32)
-        for i, (_, bucket, n) in enumerate(own):
+        for i, r in enumerate(own):
+            bucket, n = r.vector()
             total[i, bucket] = n
         x = weighted(total, idf)
         found = spherical_kmeans(x, CENTROIDS)
@@ -201,12 +218,12 @@ def predict(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
 
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows whose language may be learned from."""
-    return docs.where(crc_mod("doc_id", HELD_OUT_MODULUS) != 0)
+    return only(docs, "doc_id", "text", "lang").where(crc_mod("doc_id", HELD_OUT_MODULUS) != 0)
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Predictions for every row, learned from the rows that aren't held out."""
-    out = predict(docs.select("doc_id", "text"), fit(learnable(docs)))
+    out = predict(only(docs, "doc_id", "text"), fit(learnable(docs)))
     return out.withColumn("held_out", crc_mod("doc_id", HELD_OUT_MODULUS) == 0)
 
 
@@ -215,7 +232,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     from tidelog.llm.exact_dedup import without_rows
 
     docs = steady(docs)
-    known = predict(docs.select("doc_id", row_key().alias("row"), "text"), fit(learnable(docs)), "row")
+    known = predict(only(docs, "doc_id", "text").withColumn("row", row_key()), fit(learnable(docs)), "row")
     return without_rows(docs, known.where("rejected"))
 
 
