@@ -59,7 +59,7 @@ def planted(seed):
     return [(i * 3, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"PIVOTS": 0, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6})])
+@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"PIVOTS": 0, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6}), (4, {"PIVOTS": 0, "BLOCK_CLASSES": 2}), (5, {"PIVOTS": 1, "BLOCK_CLASSES": 3})])
 def test_components(spark, monkeypatch, seed, tune):
     for name, value in tune.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -94,5 +94,40 @@ def test_components_of_a_graph(spark, monkeypatch, bound):
 
 def test_match_length_follows_cost():
     rare, frequent = np.full(60, 2, np.uint32), np.full(60, 5000, np.uint32)
-    assert 1 <= jaccard.choose_match(rare, 10) <= 8
-    assert jaccard.choose_match(np.concatenate([rare[:10], frequent]), 10) < jaccard.choose_match(frequent, 10)
+    assert 1 <= jaccard.choose_match(rare, 10, 51) <= 8 and jaccard.choose_match(rare, 10, 2) <= 2
+    assert jaccard.choose_match(np.concatenate([rare[:10], frequent]), 10, 61) < jaccard.choose_match(frequent, 10, 51)
+    assert jaccard.choose_match(frequent, -5, 40) == 1
+
+
+def test_pages_of_one_template(spark):
+    """Most pairs are near misses: the words that vary decide."""
+    rng = random.Random(7)
+    fixed, pool = [f"w{i}" for i in range(170)], [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(pool) for _ in range(20)]
+        if i % 9 == 0 and rows:  # some are near copies of one before
+            own = rows[rng.randrange(len(rows))][1].split()[100:120]
+            own[rng.randrange(20)] = "other"
+        rows.append((i, " ".join(fixed[:100] + own + fixed[100:])))
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert 20 < sum(r.doc_id != r.component_id for r in got) < 200
+
+
+def test_reach_of_a_posting_holds_all_pairs():
+    """What two prefixes share, by the rule that bounds a partner's size, is enough."""
+    rng = random.Random(3)
+    for _ in range(300):
+        n, m = sorted((rng.randint(5, 60), rng.randint(5, 60)))
+        need = jaccard.needed_of(n, m)
+        assert 100 * need >= 80 * (n + m - need) and 100 * (need - 1) < 80 * (n + m - need + 1)
+        if need > n:
+            continue
+        both = set(rng.sample(range(100), need))
+        a = sorted(both | set(rng.sample(range(100, 300), n - need)), key=lambda x: (x * 37) % 301)
+        b = sorted(both | set(rng.sample(range(300, 500), m - need)), key=lambda x: (x * 37) % 301)
+        match = {id(a): rng.randint(1, min(8, need)), id(b): rng.randint(1, min(8, need))}
+        reach = lambda x, p: (180 * (len(x) - p + match[id(x)] - 1)) // 80 - len(x)
+        shared = [c for c in both if reach(a, a.index(c)) >= m and reach(b, b.index(c)) >= n]
+        assert len(shared) >= min(match.values())

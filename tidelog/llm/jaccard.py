@@ -16,11 +16,17 @@ can become candidates. A pair is verified if its prefixes share min(l1, l2) shin
 3. Lists of postings are compared once if several shingles have the same list. In rounds,
    until one finds little, each class is compared with one pivot of each list, the centre
    of its copies; links merge classes, so a group of near copies is one component after
-   about as many comparisons as it has members. At last all pairs of unmerged classes of a
-   list are compared, so no link between two components is lost.
+   about as many comparisons as it has members.
+4. At last, pairs of unmerged classes that share prefix shingles are compared, so no link
+   between two components is lost. The larger two sets are, the more they must share, so
+   a posting's place in its prefix bounds the size of the partners it can lead to; one
+   that only smaller sets can be found by is not looked up by others of its size. What is
+   left of a long list is dealt out in blocks, so no task compares more than a block of
+   classes with another, and a pair is a row only if it passes all filters.
 
 Shingles are compared by 48 bits of a hash and their part's number, classes by 64 bits
-and their size.
+and their size. Among N classes two different sets would have one key and size by chance
+with a probability below N^2 / 2^65.
 
 Defined results: words are runs of characters other than space and U+0009 to U+000D,
 with A-Z in lower case. With fewer than five words the whole sequence is one shingle;
@@ -41,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, documents, frugal, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
+from tidelog.llm.common import arrow_schema, documents, frugal, only, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, without_rows
 from tidelog.llm.graph import components
 
@@ -60,6 +66,8 @@ PIVOTS = 4
 WORTH_A_ROUND = 0.05
 #: Bits of a class's parity.
 PARITY = 2048
+#: Classes of a posting list that one block has.
+BLOCK_CLASSES = 2000
 
 
 def needed(n: np.ndarray | int):
@@ -67,6 +75,11 @@ def needed(n: np.ndarray | int):
     return (PERCENT * n + 99) // 100
 
 
+def needed_of(n: int, m: int) -> int:
+    """Shingles that sets of n and m must share."""
+    return (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
+
+
 def mask_of(bits: int) -> np.uint64:
     """Hash bits in use: the part's number and 48 more."""
     return np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 48) - 1))
@@ -239,13 +252,14 @@ def with_common(described_: DataFrame, bits: int) -> DataFrame:
     return classes.select("key", "n", "common").mapInArrow(frugal(run), RETURNED)
 
 
-def choose_match(df: np.ndarray, base: int) -> int:
-    """The l whose prefix, base + l - 1 of the shared shingles, costs least: its
-    postings, and the candidates that can share l of them."""
-    most = min(LONGEST_MATCH, len(df) - base + 1)
-    hits = np.cumsum(np.minimum(df, 1 << 20).astype(np.float64))[base - 1 : base - 1 + most]
-    lengths = np.arange(1, len(hits) + 1)
-    return int(np.argmin(hits + VERIFY_COST * hits / lengths)) + 1
+def choose_match(df: np.ndarray, base: int, most: int) -> int:
+    """The l up to `most` whose prefix, base + l - 1 of the shared shingles, costs
+    least: its postings, and the candidates that can share l of them. base may be below
+    one, if shingles that no other class has fill the prefix."""
+    lengths = np.arange(1, max(1, min(LONGEST_MATCH, most)) + 1)
+    sums = np.append(0.0, np.cumsum(np.minimum(df, 1 << 20).astype(np.float64)))
+    hits = sums[np.clip(base + lengths - 1, 0, len(df))]
+    return int(lengths[np.argmin(hits + VERIFY_COST * hits / lengths)])
 
 
 def parity_of(codes: np.ndarray) -> np.ndarray:
@@ -277,7 +291,8 @@ def survivors(rows: DataFrame) -> DataFrame:
         for a, b in zip(edges[:-1], edges[1:]):
             n = int(size[owner[a]])
             base = (b - a) - needed(n) + 1
-            match = choose_match(df[a:b], base)
+            # Costs are those of partners of the same size, with which more must be shared.
+            match = choose_match(df[a:b], (b - a) - needed_of(n, n) + 1, (b - a) - base + 1)
             centre = float(np.log2(df[a:b].astype(np.float64)).sum() / n)
             rows.append((int(distinct[owner[a]]), n, match, base + match - 1, centre, parity_of(code[a:b]), code[a:b].view(np.int64)))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
@@ -306,13 +321,18 @@ def fits(n_a: str, n_b: str) -> F.Column:
 
 
 def postings(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(code, key, n, match, centre, root, alone) of every class's prefix; alone: the
-    class is not linked to any yet."""
-    flat = classes.select("key", "n", "match", "centre", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("code"))
+    """(code, key, n, match, centre, most, root, alone) of every class's prefix. most:
+    the largest partner in whose prefix with this class the shingle is: with p shingles
+    before it, that needs n - p + match - 1 to be at least what both must share. alone:
+    the class is not linked to any yet."""
+    own = F.col("n") - F.size("codes")
+    flat = classes.select("key", "n", "match", "centre", own.alias("own"), F.posexplode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("pos", "code"))
+    rest = F.col("n") - F.col("own") - F.col("pos") + F.col("match") - 1
+    flat = flat.withColumn("most", F.floor((100 + PERCENT) * rest / PERCENT).cast("long") - F.col("n")).drop("own", "pos")
     if roots is None:
         return flat.withColumns({"root": F.col("key"), "alone": F.lit(True)})
     joined = flat.join(roots, flat.key == roots.node, "left")
-    return joined.select("code", "key", "n", "match", "centre", F.coalesce("root", "key").alias("root"), F.col("root").isNull().alias("alone"))
+    return joined.select("code", "key", "n", "match", "centre", "most", F.coalesce("root", "key").alias("root"), F.col("root").isNull().alias("alone"))
 
 
 def open_lists(all_: DataFrame, turn: int) -> DataFrame:
@@ -342,46 +362,101 @@ def star_pairs(all_: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def all_pairs(all_: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of all unmerged classes of a list that may be similar and share enough of
-    their prefixes. A pair becomes a row only if it passes, so a group of near misses
-    makes hardly any.
+def open_postings(all_: DataFrame) -> DataFrame:
+    """(list, key, n, match, most, root, weight) of the classes in posting lists that
+    hold unmerged ones. Lists with the same classes count once, under the least of their
+    codes, with their number as weight and the largest of a class's reaches."""
+    lists = all_.groupBy("code").agg(
+        F.min("root").alias("least"), F.max("root").alias("top"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"), F.count(F.when(F.col("most") >= F.col("n"), 1)).alias("found"),
+    ).where("least < top and found > 0")
+    same = lists.groupBy("h1", "h2", "size").agg(F.min("code").alias("list"), F.collect_list("code").alias("codes"))
+    rows = all_.join(same.select("list", F.explode("codes").alias("code")), "code")
+    first = [F.first(c).alias(c) for c in ("n", "match", "root")]
+    return rows.groupBy("list", "key").agg(F.max("most").alias("most"), F.count("*").alias("weight"), *first)
+
+
+def all_pairs(all_: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b) of all unmerged classes that may be similar and share enough of their
+    prefixes; None if all that share any are merged.
+
+    Of a pair the larger class a looks up the smaller one b, which is found only by
+    postings that reach partners of its own size. In each list one root has the most
+    classes; pairs of two of these are merged already, so the others are compared with
+    all, and these only with the others. Both sides of a comparison are cut into blocks
+    of about BLOCK_CLASSES, and each block of one meets each of the other.
 
     A class's parity has one bit for each residue of a shingle's hash, set if an odd
     number of its shingles have it. Where two parities differ the sets do, so the number
-    of such bits is at most the size of the sets' difference.
+    of such bits is at most the size of the sets' difference. A pair becomes a row only
+    if that lets it be similar, so a group of near misses makes hardly any.
     """
-    every = lists.select(F.explode("codes").alias("code"))
-    open_ = staged(all_.join(every, "code", "left_semi").select("code", "key", "root"), "open")
-    codes_of = open_.groupBy("key").agg(F.collect_list("code").alias("lists"))
+    open_ = staged(open_postings(all_), "open")
+    if open_.isEmpty():
+        return None
+    found = F.col("most") >= F.col("n")
+    by_root = open_.groupBy("list", "root").agg(F.count("*").alias("n_root"), F.count(F.when(found, 1)).alias("n_found"))
+    lists = by_root.groupBy("list").agg(F.sum("n_root").alias("n_all"), F.sum("n_found").alias("all_found"), F.max(F.struct("n_root", "root", "n_found")).alias("main"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.lit(1)).cast("int")
+    other_found = F.col("all_found") - F.col("main.n_found")
+    lists = staged(lists.select(
+        "list", F.col("main.root").alias("main"), (other_found > 0).alias("main_looks"),
+        blocks(F.col("n_all") - F.col("main.n_root")).alias("a0"), blocks(F.col("all_found")).alias("b0"),
+        blocks(F.col("main.n_root")).alias("a1"), blocks(other_found).alias("b1"),
+    ), "lists")
     words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]
-    whole = classes.select("key", "n", "match", (F.col("n") - F.size("codes")).alias("own"), *words)
-    rows = staged(open_.join(lists.select("code"), "code", "left_semi").join(codes_of.join(whole, "key"), "key"), "rows")
-    side = lambda x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
+    whole = classes.select("key", (F.col("n") - F.size("codes")).alias("own"), *words)
+    is_main = F.col("root") == F.col("main")
+    rows = open_.join(lists, "list").where(~is_main | F.col("main_looks") | found)
+    rows = staged(rows.join(whole, "key"), "rows")
+    parity = [f"p{i}" for i in range(PARITY // 64)]
+    kept = ["list", "key", "n", "match", "most", "root", "weight", "own", *parity]
+    dealt_to = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def side(x: str, cells: F.Column, rows_: DataFrame) -> DataFrame:
+        flat = rows_.select(*kept, F.explode(cells).alias("cell"))
+        return flat.select(*[F.col(c).alias(f"{c}_{x}") for c in kept], F.col("cell").alias(f"cell_{x}"))
+
+    cell = lambda turn, i, j: F.struct(F.lit(turn).alias("turn"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    none = F.array().cast("array<struct<turn:int,i:int,j:int>>")
+    looks = F.when(~is_main, F.transform(every(F.col("b0")), lambda j: cell(0, dealt_to(F.col("a0")), j)))
+    looks = looks.when(F.col("main_looks"), F.transform(every(F.col("b1")), lambda j: cell(1, dealt_to(F.col("a1")), j))).otherwise(none)
+    shown = F.transform(every(F.col("a0")), lambda i: cell(0, i, dealt_to(F.col("b0"))))
+    shown_again = F.transform(every(F.col("a1")), lambda i: cell(1, i, dealt_to(F.col("b1"))))
+    a = side("a", looks, rows)
+    b = side("b", F.concat(shown, F.when(~is_main, shown_again).otherwise(none)), rows.where(found))
     size = F.col("n_a") + F.col("n_b")
     apart = F.col("own_a") + F.col("own_b")
-    for i in range(PARITY // 64):
-        apart += F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b")))
+    for p in parity:
+        apart += F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")))
     near = (100 + PERCENT) * (size - apart) >= 2 * PERCENT * size
-    enough = F.size(F.array_intersect("lists_a", "lists_b")) >= F.least("match_a", "match_b")
-    close = (F.col("code_a") == F.col("code_b")) & (F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b") & near & enough
-    pairs = side("a").join(side("b"), close).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    reach = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & fits("n_a", "n_b")
+    close = (F.col("list_a") == F.col("list_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("root_a") != F.col("root_b")) & larger & reach & near
+    pairs = a.join(b, close).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("weight_a").alias("weight"), F.least("match_a", "match_b").alias("least"))
     # As one method this condition is too long for the JVM to compile; apart from
     # whole-stage code it is generated in short ones.
     with setting(classes.sparkSession, "spark.sql.codegen.wholeStage", "false"):
-        return staged(staged(pairs, "near").distinct(), "pairs")
+        hits = staged(pairs, "near").groupBy("a", "b").agg(F.sum("weight").alias("hits"), F.first("least").alias("least"))
+        return staged(hits.where("hits >= least").select("a", "b"), "pairs")
 
 
 def links(classes: DataFrame) -> DataFrame | None:
     """(node, root) of all classes that are linked to another; None without any."""
     found = roots = None
-    turn, last = 0, False
+    turn, last = 0, PIVOTS < 1
     while True:
         all_ = staged(postings(classes, roots), "postings")
-        lists = staged(open_lists(all_, turn), "lists")
-        if lists.isEmpty():
-            return roots
-        pairs = all_pairs(all_, lists, classes) if last else staged(star_pairs(all_, lists), "pairs")
+        if last:
+            pairs = all_pairs(all_, classes)
+            if pairs is None:
+                return roots
+        else:
+            lists = staged(open_lists(all_, turn), "lists")
+            if lists.isEmpty():
+                return roots
+            pairs = staged(star_pairs(all_, lists), "pairs")
         new = staged(verified(pairs, classes), "verified")
         links_found, looked_at = new.count(), pairs.count()
         if links_found:
@@ -398,7 +473,7 @@ def groups(docs: DataFrame) -> DataFrame:
     is kept has the smallest doc_id of its component."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = steady(docs)
+    docs = only(steady(docs), "doc_id", "text")
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     wanted = max(shuffle_parts(spark), (size.bytes or 0) // 6 // PART_SHINGLES, 2)
     bits = min(32, int(np.ceil(np.log2(wanted))))
