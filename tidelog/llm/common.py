@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import inspect
 import re
 import tempfile
@@ -15,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +48,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the batches of scans and of Python small enough that very long texts fit."""
+    """Keeps the batches of scans and of Python small enough that very long texts fit.
+    Every operator begins with this, so what the last one left is given back here."""
     ship(spark)
+    relieve(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
@@ -61,6 +65,22 @@ def give_back() -> None:
         trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Returns the driver's freed memory to the system, its JVM's native heap included:
+    compilers and planners of many jobs leave much there that the allocator keeps."""
+    gc.collect()
+    give_back()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class.forName
+    with contextlib.suppress(Py4JError):  # a JVM without this command keeps its memory
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        method = next(m for m in kind("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        none, given = array(jvm.java.lang.Object, 0), array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = none, array(jvm.java.lang.String, 0)
+        method.invoke(server, given)
+
+
 def frugal(work):
     """A grouped or batch function whose worker gives memory back after each call or
     at the end of each task."""

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, documents, frugal, only, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
+from tidelog.llm.common import arrow_schema, documents, frugal, only, relieve, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, without_rows
 from tidelog.llm.graph import components
 
@@ -118,14 +118,14 @@ def common_shingles(docs: DataFrame, n_docs: int, bits: int) -> np.ndarray:
     SAMPLE_DOCS / COMMON_COUNT times the mean set size. They steer cost, not results."""
     share = int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * (1 << 30))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 30)) < share).select("text")
-    mask, groups = mask_of(bits), 16
+    mask, groups = mask_of(bits), 64
     out, found = arrow_schema("g int, codes binary"), arrow_schema("code long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, s in shingle_sets(*text_buffer(batch.column(0)), mask)]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            group = flat >> np.uint64(60)
+            group = flat >> np.uint64(58)
             rows = [flat[group == g].tobytes() for g in range(groups)]
             yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(rows, pa.binary())], schema=out)
 
@@ -464,6 +464,7 @@ def links(classes: DataFrame) -> DataFrame | None:
             roots = staged(components(found), "roots")
         if last:
             return roots
+        relieve(classes.sparkSession)
         turn += 1
         last = links_found <= WORTH_A_ROUND * looked_at or turn >= PIVOTS
 
