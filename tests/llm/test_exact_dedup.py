@@ -26,6 +26,8 @@ def table(rng):
     base = ["".join(rng.choice("ab é") for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 33, 100]))) for _ in range(40)]
     rows = [(n, rng.choice(base)) for n in range(150)]
     rows += [(200, None), (201, ""), (202, " \t\n"), (203, " "), (204, "x" * 3000), (205, "x" * 3000), (206, "x" * 2999 + "y")]
+    long = "".join(rng.choice("abc d") for _ in range(90_000)).strip()
+    rows += [(207, long), (208, long.replace(" ", " \n")), (209, long[:-1] + "y"), (210, "y" + long[1:]), (211, long[:-1] + "y"), (212, long * 3)]
     return rows + [(7, "twice"), (7, "twice"), (None, "twice"), (None, "no id"), (None, "no id")]
 
 
