@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tidelog.llm import graph, jaccard
+from tidelog.llm import graph, jaccard, packed_rows
 
 
 def shingles(text):
@@ -59,12 +59,15 @@ def planted(seed):
     return [(i * 3, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"PIVOTS": 0, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6}), (4, {"PIVOTS": 0, "BLOCK_CLASSES": 2}), (5, {"PIVOTS": 1, "BLOCK_CLASSES": 3})])
+@pytest.mark.parametrize("seed, tune", [(1, {}), (2, {"PIVOTS": 0, "COMMON_COUNT": 1000}), (3, {"COMMON_COUNT": 2, "VERIFY_COST": 1e6}), (4, {"PIVOTS": 0, "BLOCK_CLASSES": 2}), (5, {"PIVOTS": 1, "BLOCK_CLASSES": 3}), (6, {"PART_SHINGLES": 20})])
 def test_components(spark, monkeypatch, seed, tune):
     for name, value in tune.items():
         monkeypatch.setattr(jaccard, name, value)
     if seed == 3:
         monkeypatch.setattr(graph, "TASK_LINKS", 0)
+    if seed == 6:
+        monkeypatch.setattr(packed_rows, "COARSE_BITS", 2)
+        monkeypatch.setattr(packed_rows, "ITEMS", 500)
     rows = planted(seed)
     rows += [(900, None), (901, ""), (902, " \n"), (903, None), (6, rows[2][1]), (6, rows[2][1]), (None, rows[5][1]), (None, "q w e r t y"), (950, "z " * 30_000)]
     docs = spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id long, text string, key int, common binary")

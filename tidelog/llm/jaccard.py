@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bytesops
+from tidelog.llm import bytesops, packed_rows
 from tidelog.llm.common import arrow_schema, documents, frugal, only, relieve, row_key, setting, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, without_rows
 from tidelog.llm.graph import components
@@ -56,7 +56,7 @@ PERCENT = 80
 #: Shingles per part of the exchange, on average.
 PART_SHINGLES = 2_000_000
 #: Documents sampled for very common shingles, and the count there that makes one common.
-SAMPLE_DOCS, COMMON_COUNT = 10_000, 10
+SAMPLE_DOCS, SAMPLE_RATE, COMMON_COUNT = 10_000, 1e-5, 10
 LONGEST_MATCH = 8
 #: Cost of verifying a pair against that of one posting.
 VERIFY_COST = 20.0
@@ -114,9 +114,10 @@ def listed(common: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, n_docs: int, bits: int) -> np.ndarray:
-    """Shingles found in at least COMMON_COUNT of about SAMPLE_DOCS documents: at most
-    SAMPLE_DOCS / COMMON_COUNT times the mean set size. They steer cost, not results."""
-    share = int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * (1 << 30))
+    """Shingles found in at least COMMON_COUNT of about SAMPLE_DOCS documents, or of a
+    share SAMPLE_RATE if that is more, so that a shingle of some million documents is
+    among them however many there are. They steer cost, not results."""
+    share = int(min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), SAMPLE_RATE)) * (1 << 30))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 30)) < share).select("text")
     mask, groups = mask_of(bits), 64
     out, found = arrow_schema("g int, codes binary"), arrow_schema("code long")
@@ -155,10 +156,15 @@ def described(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
     return docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
 
 
+#: What packed rows say of a class and of its shingles.
+OWNERS, ITEMS = {"keys": np.int64, "sizes": np.uint32}, {"low": np.uint32, "mid": np.uint16}
+
+
 def dealt(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
     """Packed rows (part, keys, sizes, counts, low, mid): the shingles of some classes
     that fall into one part of the hash range, class by class."""
-    schema = "part int, keys binary, sizes binary, counts binary, low binary, mid binary"
+    rest = packed_rows.fine_bits(bits)
+    schema = packed_rows.schema_of(OWNERS, ITEMS, rest)
     out, mask = arrow_schema(schema), mask_of(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,21 +180,11 @@ def dealt(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
             rare = [s[~listed(common, s)] for s in sets.values()]
             flat = np.concatenate(rare)
             owner = np.repeat(np.arange(len(rare)), [len(s) for s in rare])
-            part = (flat >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            flat, owner, part = flat[order], owner[order], part[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
-            rows = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                own, counts = np.unique(owner[a:b], return_counts=True)
-                piece = flat[a:b]
-                rows.append((
-                    int(part[a]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.uint32).tobytes(),
-                    piece.astype(np.uint32).tobytes(), (piece >> np.uint64(32)).astype(np.uint16).tobytes(),
-                ))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out) if rows else pa.RecordBatch.from_pylist([], schema=out)
-
-    return docs.select("text").mapInArrow(frugal(run), schema)
+            part, fine = packed_rows.coarse(flat, bits, rest)
+            rows = packed_rows.rows_of(part, owner, [keys, sizes], [flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint16), *fine])
+            yield packed_rows.batch_of(rows, out)
+
+    return packed_rows.finer(docs.select("text").mapInArrow(frugal(run), schema), bits, OWNERS, ITEMS)
 
 
 def joined_buffers(table: pa.Table, name: str, kind) -> np.ndarray:
