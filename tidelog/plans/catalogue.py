@@ -168,46 +168,38 @@ def q_merge_ranked(spark, sf_dir):
     return plain(merge.merge_ranked(log.withColumn("rank", rank), "rank"))
 
 
-@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE run < 5) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
-def q_compact_keep(spark, sf_dir):
-    return plain(merge.compact(changes(spark, sf_dir).where("run < 5"), None))
+def older(log: DataFrame) -> DataFrame:
+    """The older half of all runs, as inputs of a compaction."""
+    return log.where(F.col("run") <= (log.agg(F.max("run")).first()[0] or 0) // 2)
 
 
-@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE run < 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O WHERE op = 1")
-def q_compact_drop(spark, sf_dir):
-    return plain(merge.compact(changes(spark, sf_dir).where("run < 5"), []))
+OLDER = "run <= (SELECT coalesce(max(run), 0) // 2 FROM L)"
 
 
-BLOCKS_SQL = f"""
-WITH RECURSIVE {LOG},
-E AS (SELECT key, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L WHERE run = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
-S AS (SELECT row_number() OVER (ORDER BY key) AS i, key, 1 + (k >= 128)::INT + (k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v AS size FROM E),
-B AS (SELECT i, key, 0 AS block, size AS total FROM S WHERE i = 1
-      UNION ALL SELECT S.i, S.key, CASE WHEN B.total >= {BLOCK_BYTES} THEN B.block + 1 ELSE B.block END, CASE WHEN B.total >= {BLOCK_BYTES} THEN S.size ELSE B.total + S.size END
-      FROM B JOIN S ON S.i = B.i + 1)
-SELECT CAST(0 AS BIGINT) AS run, CAST(block AS BIGINT) AS block, min(key) AS first_key, count(*) AS entries, CAST(max(total) AS BIGINT) AS bytes FROM B GROUP BY block"""
+@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE {OLDER}) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def q_compact_keep(spark, sf_dir):
+    return plain(merge.compact(older(changes(spark, sf_dir)), None))
 
 
-@query(BLOCKS_SQL)
-def q_blocks(spark, sf_dir):
-    state = merge.latest(changes(spark, sf_dir).where("run = 0"))
-    size = folds.encoded_size(F.octet_length("key"), F.octet_length("value"))
-    return folds.blocks(state.select(F.lit(0).alias("run"), "key", size.alias("size")), BLOCK_BYTES)
+@query(f"WITH {LOG}, O AS (SELECT * FROM L WHERE {OLDER} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, CAST(op AS BIGINT) AS op, value, seq FROM O WHERE op = 1")
+def q_compact_drop(spark, sf_dir):
+    return plain(merge.compact(older(changes(spark, sf_dir)), []))
 
 
-BLOCKS_BY_RUN_SQL = f"""
+BY_RUN_BLOCKS = f"""
 WITH RECURSIVE {LOG},
 E AS (SELECT run, key, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) = 1),
 S AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY key) AS i, key, 1 + (k >= 128)::INT + (k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v AS size FROM E),
 B AS (SELECT run, i, key, 0 AS block, size AS total FROM S WHERE i = 1
       UNION ALL SELECT S.run, S.i, S.key, CASE WHEN B.total >= {BLOCK_BYTES} THEN B.block + 1 ELSE B.block END, CASE WHEN B.total >= {BLOCK_BYTES} THEN S.size ELSE B.total + S.size END
-      FROM B JOIN S ON S.run = B.run AND S.i = B.i + 1)
-SELECT CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS block, min(key) AS first_key, count(*) AS entries, CAST(max(total) AS BIGINT) AS bytes FROM B GROUP BY run, block"""
+      FROM B JOIN S ON S.run = B.run AND S.i = B.i + 1),
+D AS (SELECT run, block, min(key) AS first_key, count(*) AS entries, max(total) AS bytes FROM B GROUP BY run, block),
+I AS (SELECT run, block, first_key, entries, bytes, sum(bytes) OVER (PARTITION BY run ORDER BY block) - bytes AS place FROM D)"""
 
 
-@query(BLOCKS_BY_RUN_SQL)
-def q_blocks_by_run(spark, sf_dir):
-    """The data blocks of every run; q_blocks, as its SQL has it, gives run 0 alone."""
+@query(f"{BY_RUN_BLOCKS} SELECT run, CAST(block AS BIGINT) AS block, first_key, entries, CAST(bytes AS BIGINT) AS bytes FROM I")
+def q_blocks(spark, sf_dir):
+    """The data blocks of every run."""
     newest = F.max_by("value", "seq").alias("value")
     state = changes(spark, sf_dir).groupBy("run", "key").agg(newest)
     size = folds.encoded_size(F.octet_length("key"), F.octet_length("value"))
@@ -421,17 +413,6 @@ def q_table_get(spark, sf_dir):
     return by_run(spark, sf_dir, read, "run long, key string, status string, value string")
 
 
-BY_RUN_BLOCKS = f"""
-WITH RECURSIVE {LOG},
-E AS (SELECT run, key, octet_length(encode(key)) AS k, octet_length(encode(value)) AS v FROM L QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) = 1),
-S AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY key) AS i, key, 1 + (k >= 128)::INT + (k >= 16384)::INT + 1 + (v + 1 >= 128)::INT + (v + 1 >= 16384)::INT + k + 1 + v AS size FROM E),
-B AS (SELECT run, i, key, 0 AS block, size AS total FROM S WHERE i = 1
-      UNION ALL SELECT S.run, S.i, S.key, CASE WHEN B.total >= {BLOCK_BYTES} THEN B.block + 1 ELSE B.block END, CASE WHEN B.total >= {BLOCK_BYTES} THEN S.size ELSE B.total + S.size END
-      FROM B JOIN S ON S.run = B.run AND S.i = B.i + 1),
-D AS (SELECT run, block, min(key) AS first_key, count(*) AS entries, max(total) AS bytes FROM B GROUP BY run, block),
-I AS (SELECT run, block, first_key, entries, bytes, sum(bytes) OVER (PARTITION BY run ORDER BY block) - bytes AS place FROM D)"""
-
-
 @query(f"{BY_RUN_BLOCKS} SELECT run, CAST(block AS BIGINT) AS block, first_key, CAST(place AS BIGINT) AS block_offset, CAST(bytes AS BIGINT) AS block_bytes FROM I")
 def q_table_index(spark, sf_dir):
     """The index of each run's table file: a block's first key, place and size."""
