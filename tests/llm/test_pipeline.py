@@ -30,12 +30,12 @@ def folder(spark, tmp_path_factory):
         rows.append((i, body, lang))
     copies = [(200 + k, rows[k][1].replace(" ", "  "), rows[k][2]) for k in range(0, 30, 3)]
     near = [(300 + k, rows[k][1] + " ende", rows[k][2]) for k in range(1, 60, 4) if len(rows[k][1].split()) > 60]
-    odd = [(400, None, "aa"), (401, "", "aa"), (402, "123 456", None), (None, text("bb", 40), "bb")]
+    odd = [(400, None, "aa"), (401, "", "aa"), (402, "123 456", None), (None, text("bb", 40), "bb"), rows[8], rows[8], (403, text("aa", 30_000), "aa")]
     rows += copies + near + odd
     rng.shuffle(rows)
     path = str(tmp_path_factory.mktemp("sf"))
-    full = [(i, t, lang, "src", len(t or "")) for i, t, lang in rows]
-    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").coalesce(3).write.parquet(f"{path}/documents.parquet")
+    full = [(i, t, lang, "src", len(t or ""), "x") for i, t, lang in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, `a.row` string").coalesce(3).write.parquet(f"{path}/documents.parquet")
     return path
 
 
@@ -74,6 +74,8 @@ def test_stages(spark, folder):
     assert packed.agg({"length": "sum"}).first()[0] == sum(r.doc_tokens for r in packed.select("doc_id", "doc_tokens").distinct().collect())
 
 
-def test_run(spark, folder):
+def test_run(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100

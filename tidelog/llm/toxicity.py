@@ -8,7 +8,8 @@ folds; a row's features come from the lexicon of the other folds, trees grow on
 folds but one and the calibration on that one, so no row is judged by what it taught.
 
 The model is fitted on at most about SAMPLE_ROWS labelled rows of each label, chosen by
-a hash of the row id, of at most SAMPLE_BYTES each. Scores read every text whole.
+a hash, of any length: executors count their words and make their features, so texts
+never reach the driver. Scores read every text whole.
 
 Defined results: a null or empty text has zero in all features and is scored like any
 other; without labels of both classes every score is the share of label 1 (0 without
@@ -18,6 +19,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytesops
-from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, small_batches, spans_of, text_buffer
+from tidelog.llm.common import arrow_schema, crc_mod, documents, frugal, only, small_batches, spans_of, staged, text_buffer
+from tidelog.llm.labels import labelled
 
 SAMPLE_ROWS = 6000
-#: Longer texts are not sampled, so the sample has a bound in bytes too. They are scored.
-SAMPLE_BYTES = 32_768
 HELD_OUT_MODULUS = 5
 THRESHOLD = 0.5
 FOLDS = 4
@@ -94,6 +95,7 @@ class Model(NamedTuple):
     values: np.ndarray
 
 
+@functools.cache
 def fixed(words: str) -> np.ndarray:
     return np.sort(np.array([bytesops.code_of(w) for w in words.split()], np.uint64))
 
@@ -159,13 +161,9 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
 
 
-def learn_lexicon(words: list[np.ndarray], y: np.ndarray) -> Lexicon:
-    """words: each text's distinct codes."""
-    code, index = np.unique(np.concatenate(words), return_inverse=True)
-    label = np.repeat(y, [len(w) for w in words])
-    toxic, other = np.bincount(index, weights=label, minlength=len(code)), np.bincount(index, weights=1 - label, minlength=len(code))
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    ratio = ((toxic + 0.1) / n1) / ((other + 0.5) / n0)
+def learn_lexicon(code: np.ndarray, toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> Lexicon:
+    """code: sorted words; toxic, other: how many of the n1 and n0 texts have them."""
+    ratio = ((toxic + 0.1) / max(n1, 1)) / ((other + 0.5) / max(n0, 1))
     keep = (toxic >= max(LEARNED_TEXTS, 0.002 * n1)) & (ratio >= LEARNED_RATIO)
     return Lexicon(code[keep], np.log(ratio[keep]))
 
@@ -253,46 +251,104 @@ def constant(p: float) -> Model:
     return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), 0.0, [], np.array([0.0]), np.array([p]))
 
 
-def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> Model:
-    """weight: how many rows of the corpus a sampled row stands for."""
-    if len(y) < 6 or y.min() == y.max():
-        return constant(float(np.average(y, weights=weight)) if len(y) else 0.0)
-    part = np.zeros(len(y), int)
-    for label in (0, 1):  # each part gets its share of both labels
-        rows = np.flatnonzero(y == label)
-        part[rows] = np.arange(len(rows)) % FOLDS
-    data, offsets = text_buffer(texts)
-    words = [np.unique(bytesops.words_of(data, offsets[i : i + 2], bytesops.NOT_ALNUM).code) for i in range(len(y))]
-    x = np.zeros((len(y), len(NAMES)))
-    for fold in range(FOLDS):
-        other = np.flatnonzero(part != fold)
-        lexicon = learn_lexicon([words[i] for i in other], y[other])
-        for i in np.flatnonzero(part == fold):
-            x[i] = features(data, offsets[i : i + 2], lexicon)[0]
+def dealt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The fold of each sampled row; each fold gets its share of both labels."""
+    out = np.zeros(len(n0), int)
+    for rows in (np.flatnonzero(n1 == 0), np.flatnonzero(n1 > 0)):
+        out[rows] = np.arange(len(rows)) % FOLDS
+    return out
+
+
+def word_counts(rows: DataFrame, fold: dict[int, int], n0: list[int], n1: list[int]) -> pa.Table:
+    """(code, t0, t1, ..., o0, o1, ...): how many toxic and other texts of each fold have
+    a word, of the words that some lexicon without one fold, or of all, may hold."""
+    schema = "code long, fold int, toxic long, other long"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            own = np.array([fold[r] for r in batch.column(0).to_pylist()], np.int64)
+            other, toxic = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for a, b in spans_of(offsets, CHUNK):
+                words = bytesops.words_of(data, offsets[a : b + 1], bytesops.NOT_ALNUM)
+                order = np.lexsort((words.doc, words.code))
+                code, doc = words.code[order], words.doc[order] + a
+                fresh = np.ones(len(code), bool)
+                fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+                code, doc = code[fresh], doc[fresh]
+                place, at = np.unique(np.stack([code, own[doc].astype(np.uint64)]), axis=1, return_inverse=True)
+                columns = [pa.array(place[0].view(np.int64)), pa.array(place[1].astype(np.int32)), *(pa.array(np.bincount(at.ravel(), n[doc], place.shape[1]).astype(np.int64)) for n in (toxic, other))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    each = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c[0]}{k}") for c in ("toxic", "other") for k in range(FOLDS)]
+    found = rows.select("row", "text", "n0", "n1").mapInArrow(frugal(run), schema).groupBy("code").agg(*each)
+    total = {c: sum(F.col(f"{c}{k}") for k in range(FOLDS)) for c in "to"}
+    may = F.lit(False)
+    for k in (None, *range(FOLDS)):
+        t, o = (total[c] - (0 if k is None else F.col(f"{c}{k}")) for c in "to")
+        m1, m0 = (max(sum(n) - (0 if k is None else n[k]), 1) for n in (n1, n0))
+        may |= (t >= max(LEARNED_TEXTS, 0.002 * m1)) & ((t + 0.1) / m1 >= 0.999 * LEARNED_RATIO * (o + 0.5) / m0)
+    return found.where(may).toArrow()
+
+
+def fold_lexicons(rows: DataFrame, fold: dict[int, int], n0: list[int], n1: list[int]) -> list[Lexicon]:
+    """For each fold the lexicon of the others, and at last that of all."""
+    table = word_counts(rows, fold, n0, n1)
+    code = table["code"].to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    toxic, other = (np.array([table[f"{c}{k}"].to_numpy()[order] for k in range(FOLDS)]).reshape(FOLDS, -1) for c in "to")
+    out = [learn_lexicon(code[order], toxic.sum(0) - toxic[k], other.sum(0) - other[k], sum(n1) - n1[k], sum(n0) - n0[k]) for k in range(FOLDS)]
+    return [*out, learn_lexicon(code[order], toxic.sum(0), other.sum(0), sum(n1), sum(n0))]
+
+
+def fold_features(rows: DataFrame, fold: dict[int, int], lexicons: list[Lexicon]) -> dict[int, np.ndarray]:
+    """The features of each sampled row, by the lexicon of the other folds."""
+    schema = "row long, x array<double>"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            x = [features(data, offsets[i : i + 2], lexicons[fold[r]])[0] for i, r in enumerate(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], schema=out)
+
+    table = rows.select("row", "text").mapInArrow(frugal(run), schema).toArrow()
+    return dict(zip(table["row"].to_pylist(), np.array(table["x"].to_pylist()).reshape(-1, len(NAMES))))
+
+
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray, lexicon: Lexicon) -> Model:
+    """weight: how many rows of the corpus a row stands for; part: its fold. Trees grow
+    on all folds but the first, the calibration on that one."""
     fit = part > 0
     base, trees = boost(x[fit], y[fit], weight[fit])
-    model = Model(learn_lexicon(words, y), base, trees, np.array([0.0]), np.array([0.0]))
+    model = Model(lexicon, base, trees, np.array([0.0]), np.array([0.0]))
     knots, values = isotonic(raw_score(model, x[~fit]), y[~fit].astype(float), weight[~fit])
     return model._replace(knots=knots, values=values)
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of a bounded number of rows of each label. The labels
-    are sampled before the join, so what is broadcast is bounded too."""
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
-    sizes = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    share = {k: min(1.0, SAMPLE_ROWS / n) for k, n in sizes.items()}
-    bound = F.lit(0)
-    for k, s in share.items():
-        bound = F.when(F.col("__y") == k, F.lit(int(s * (1 << 30)))).otherwise(bound)
-    chosen = known.where(F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 30)) < bound)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    joined = joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    table = joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("__y").alias("y")).toArrow()
-    table = table.sort_by([("text", "ascending"), ("y", "ascending")])
-    table = table.take(np.random.default_rng(5).permutation(table.num_rows))
-    y = table["y"].to_numpy().astype(int)
-    return table["text"].combine_chunks(), y, np.array([1 / share[k] for k in y.tolist()])
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a bounded number of labelled documents."""
+    small_batches(docs.sparkSession)
+    sampled, share = labelled(docs, labels, "toxic", SAMPLE_ROWS, "toxicity", each=True)
+    rows = staged(sampled, "labelled")
+    known = rows.select("row", "n0", "n1").orderBy(F.xxhash64("row"), "row").toArrow()
+    n0, n1 = known["n0"].to_numpy(), known["n1"].to_numpy()
+    mass0, mass1 = n0.sum() / share.get(0, 1.0), n1.sum() / share.get(1, 1.0)
+    if len(n0) < 6 or not mass0 or not mass1:
+        return constant(mass1 / (mass0 + mass1) if len(n0) else 0.0)
+    part, ids = dealt(n0, n1), known["row"].to_pylist()
+    fold = dict(zip(ids, part.tolist()))
+    sums = [[int(n[part == k].sum()) for k in range(FOLDS)] for n in (n0, n1)]
+    lexicons = fold_lexicons(rows, fold, *sums)
+    by_row = fold_features(rows, fold, lexicons)
+    place = np.concatenate([np.flatnonzero(n0), np.flatnonzero(n1)])
+    y = np.repeat([0, 1], [(n0 > 0).sum(), (n1 > 0).sum()])
+    weight = np.where(y > 0, n1[place] / share.get(1, 1.0), n0[place] / share.get(0, 1.0))
+    x = np.array([by_row[r] for r in ids])[place]
+    if len({0, 1} & set(y[part[place] > 0].tolist())) < 2 or not (part[place] == 0).any():
+        return constant(mass1 / (mass0 + mass1))
+    return train(x, y, weight, part[place], lexicons[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -306,7 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = calibrated(model, features(*text_buffer(batch.column(1)), model.lexicon))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)
 
 
 def held_out() -> F.Column:
@@ -314,7 +370,7 @@ def held_out() -> F.Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = train(*sample(docs, labels.where(~held_out())))
+    model = fit(docs, only(labels, "doc_id", "toxic").where(~held_out()))
     out = score(docs, model)
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
