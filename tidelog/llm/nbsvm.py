@@ -93,19 +93,20 @@ def packed(row: np.ndarray) -> bytes:
 def unpacked(raw: bytes) -> np.ndarray:
     if len(raw) == (SIZE + 7) // 8:
         return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))[:SIZE])
-    return np.frombuffer(raw, "<u4").astype(np.int64)
+    return np.frombuffer(raw, "<u4")
 
 
 def descend(rows: list[bytes], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for hinge loss over packed rows. The last component is
     the bias, whose input is one. Rows are scaled to length one before it."""
     w, bias = np.zeros(len(ratio)), 0.0
+    scale = [1 / max(np.linalg.norm(ratio[unpacked(raw)]), 1e-12) for raw in rows]
     alpha, order = np.zeros(len(rows)), np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
             r = unpacked(rows[i])
-            v = ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12)
+            v = ratio[r] * scale[i]
             gradient = y[i] * (w[r] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])  # the row's square length is 2
             step = (new - alpha[i]) * y[i]
