@@ -4,10 +4,10 @@
    any two equal stretches of K + WINDOW - 1 words share one. Texts are read whole.
 2. Seeds are dealt by their hash in packed rows. Each occurrence is matched to the first
    document that holds the seed and to the nearest one before it: a number of matches
-   that is linear in the occurrences, whatever the size of a group. Seeds that a sample
-   shows in a large share of all documents skip this exchange; their first documents, one
-   in each half of all, are found by an aggregation, are few, and are broadcast. Matches
-   to all documents would be quadratic.
+   that is linear in the occurrences, whatever the size of a group. Matches to all
+   documents would be quadratic. Common seeds, found by counting those of all texts, have
+   the same matches, but are dealt by blocks of documents in order, and each block is told
+   the seed's first holder of all and its last one in the blocks before.
 3. The matches of two documents are joined into segments along diagonals, and segments
    into chains: the best chain that ends in a segment is a prefix maximum over smaller
    source positions, kept in a Fenwick tree, less a cost for the gap.
@@ -21,9 +21,9 @@
    long seeds, found in the same way. In these, the windows of MIN_WORDS words that are in
    no passage become seeds themselves, and are matched to
    the first document that holds the whole window, chained and aligned as before. So
-   each word of an exact repeat of MIN_WORDS words is in a passage, whatever the sample
-   of common seeds. Documents whose window lies in an exact repeat of an earlier one
-   don't take part: they are not the first to hold it.
+   each word of an exact repeat of MIN_WORDS words is in a passage. Documents whose window
+   lies in an exact repeat of an earlier one don't take part: they are not the first to
+   hold it.
 
 The first document (smallest doc_id, then place in the scan; a null id comes last) keeps
 a passage; it is reported for each later one, with the document it repeats.
@@ -39,6 +39,7 @@ is left.
 from __future__ import annotations
 
 import bisect
+import gc
 import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -48,6 +49,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm import bytesops, packed_rows
 from tidelog.llm.common import arrow_schema, documents, frugal, numbered, only, place_of, row_key, shuffle_parts, small_batches, spans_of, staged, steady, text_buffer
@@ -71,7 +73,9 @@ BREAK = 12
 #: Cells of the table of a longest common subsequence held at once.
 TABLE_CELLS = 250_000
 PART_SEEDS = 2_000_000
-SAMPLE_DOCS, SAMPLE_RATE, COMMON_COUNT = 10_000, 1e-5, 10
+#: A seed is common from so many occurrences on, or from this share of the number of
+#: documents if that is more, but from COMMON_MOST at the latest.
+COMMON_COUNT, COMMON_SHARE, COMMON_MOST = 1000, 1e-3, 1_000_000
 #: Bit of a packed position: the seed recurs there, or the window is in no passage yet.
 MARK = np.uint32(1 << 31)
 NO_ID = np.iinfo(np.int64).max
@@ -141,75 +145,51 @@ def buffers(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
 
-def common_seeds(docs: DataFrame, n_docs: int, mask: np.uint64) -> np.ndarray:
-    """Seeds of at least COMMON_COUNT of about SAMPLE_DOCS documents, or of a share
-    SAMPLE_RATE if that is more, so that a seed of some million documents is among them
-    however many there are. Which seeds these are decides only to which earlier documents
-    they are matched."""
-    share = int(min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), SAMPLE_RATE)) * (1 << 30))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("seeds")), F.lit(1 << 30)) < share).select("text")
-    out, found = arrow_schema("g int, codes binary"), arrow_schema("code long")
+def common_seeds(ready: DataFrame, n_docs: int, mask: np.uint64) -> tuple[np.ndarray, int]:
+    """Seeds, among them all common ones, and a bound on their occurrences. Texts are
+    counted in chunks. In those that hold less than their share of half of what makes a
+    seed common, it has less than that half in all, so the others add up to more than half
+    of it. Which seeds these are decides only how they are dealt, not what they match."""
+    half = max(COMMON_COUNT, min(COMMON_SHARE * n_docs, COMMON_MOST)) / 2
+    out = arrow_schema("code long, n long")
+
+    def counted(held: list[np.ndarray], docs: int) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        enough = n >= half * docs / n_docs
+        return pa.RecordBatch.from_arrays([pa.array(code[enough].view(np.int64)), pa.array(n[enough])], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, docs = [], 0, 0
         for batch in batches:
-            each = [np.unique(c) for _, c, _ in seeds(*text_buffer(batch.column(0)), mask)]
-            flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
-            yield packed([(g, flat[flat >> np.uint64(58) == g].tobytes()) for g in range(64)], out)
-
-    def count(table: pa.Table) -> pa.Table:
-        code, n = np.unique(buffers(table, "codes", np.uint64), return_counts=True)
-        return pa.Table.from_arrays([pa.array(code[n >= COMMON_COUNT].view(np.int64))], schema=found)
+            each = [code for _, code, _ in seeds(*text_buffer(batch.column(0)), mask)]
+            held, size, docs = held + each, size + sum(map(len, each)), docs + batch.num_rows
+            if size >= PART_SEEDS:
+                yield counted(held, docs)
+                held, size, docs = [], 0, 0
+        if held:
+            yield counted(held, docs)
 
-    rows = chosen.mapInArrow(frugal(run), "g int, codes binary").groupBy("g").applyInArrow(frugal(count), "code long").toArrow()
-    return np.sort(rows["code"].to_numpy().view(np.uint64))
+    # Each has half or more, so there are few of them, however many documents there are.
+    found = ready.select("text").mapInArrow(frugal(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= half).toArrow()
+    return np.sort(found["code"].to_numpy().view(np.uint64)), 2 * int(found["n"].to_numpy().sum())
 
 
-class Firsts(NamedTuple):
-    """The first documents with each common seed, one of each half of all documents."""
+def block_starts(ready: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, row) of the first document of each block of documents in order."""
+    parts = ready.select("doc", "row").repartitionByRange(blocks, "doc", "row").groupBy(F.spark_partition_id().alias("block"))
+    first = parts.agg(F.min(F.struct("doc", "row")).alias("f")).select("f.*").toArrow()
+    doc, row = first["doc"].to_numpy(), first["row"].to_numpy()
+    order = np.lexsort((row, doc))
+    return doc[order], row[order]
 
-    code: np.ndarray  # sorted
-    row: np.ndarray  # two columns; -1: none
-    doc: np.ndarray
-    pos: np.ndarray
-
-
-def first_holders(ready: DataFrame, common: np.ndarray, mask: np.uint64) -> Firsts:
-    n = len(common)
-    if not n:
-        return Firsts(common, *(np.zeros((0, 2), np.int64) for _ in range(3)))
-    schema = "code long, half int, doc long, row long, pos long"
-    out = arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = []
-            for i, code, pos in seeds(*text_buffer(batch.column(2)), mask):
-                hit = listed(common, code)
-                if hit.any():
-                    parts.append((np.full(hit.sum(), i), code[hit], pos[hit] & ~MARK))
-            if not parts:
-                continue
-            i, code, pos = (np.concatenate(x) for x in zip(*parts))
-            half = half_of(rows[i])
-            order = np.lexsort((pos, rows[i], docs[i], half, code))
-            i, code, pos, half = i[order], code[order], pos[order], half[order]
-            lead = np.ones(len(code), bool)
-            lead[1:] = (code[1:] != code[:-1]) | (half[1:] != half[:-1])
-            i = i[lead]
-            yield pa.RecordBatch.from_arrays([pa.array(code[lead].view(np.int64)), pa.array(half[lead], pa.int32()), pa.array(docs[i]), pa.array(rows[i]), pa.array(pos[lead].astype(np.int64))], schema=out)
-
-    # At most two rows for each common seed reach the driver.
-    found = ready.mapInArrow(frugal(run), schema).groupBy("code", "half").agg(F.min(F.struct("doc", "row", "pos")).alias("f")).select("code", "half", "f.*").toArrow()
-    at = np.searchsorted(common, found["code"].to_numpy().view(np.uint64)), found["half"].to_numpy()
-    out_ = [np.full((n, 2), -1, np.int64) for _ in range(3)]
-    for array, name in zip(out_, ("row", "doc", "pos")):
-        array[at] = found[name].to_numpy()
-    return Firsts(common, *out_)
-
-
-def half_of(rows: np.ndarray) -> np.ndarray:
-    return (bytesops.mix(rows.astype(np.uint64)) & np.uint64(1)).astype(np.int32)
+def block_of(starts: tuple[np.ndarray, np.ndarray], docs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = len(starts[0])
+    own = np.arange(n + len(docs)) >= n
+    order = np.lexsort((own, np.append(starts[1], rows), np.append(starts[0], docs)))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~own[order]) - 1
+    return np.maximum(out[n:], 0)
 
 
 def listed(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -220,6 +200,8 @@ def listed(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 #: What packed rows say of a document and of its seeds.
 OWNERS, ITEMS = {"rows": np.int64, "docs": np.int64}, {"low": np.uint32, "mid": np.uint16, "pos": np.uint32}
+#: The same of common seeds, which are named by their place among these.
+COMMON_ITEMS = {"place": np.uint32, "pos": np.uint32}
 MATCHED = "bucket int, rows binary, docs binary, counts binary, pos binary, src_rows binary, src_docs binary, src binary, src_pos binary"
 
 
@@ -249,6 +231,27 @@ def dealt_rows(rows: np.ndarray, docs: np.ndarray, parts: list[tuple], bits: int
     return packed_rows.rows_of(part, owner, [rows, docs], [code.astype(np.uint32), (code >> np.uint64(32)).astype(np.uint16), pos.astype(np.uint32), *fine])
 
 
+def dealt_common(ready: DataFrame, common: np.ndarray, starts: tuple[np.ndarray, np.ndarray], mask: np.uint64) -> DataFrame:
+    """Packed rows: the common seeds of some documents of one block."""
+    schema = packed_rows.schema_of(OWNERS, COMMON_ITEMS)
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts = []
+            for i, code, pos in seeds(*text_buffer(batch.column(2)), mask):
+                hit = listed(common, code)
+                parts.append((np.full(hit.sum(), i), np.searchsorted(common, code[hit]), pos[hit]))
+            if parts:
+                owner, place, pos = (np.concatenate(x) for x in zip(*parts))
+                made = packed_rows.rows_of(block_of(starts, docs, rows)[owner], owner, [rows, docs], [place.astype(np.uint32), pos.astype(np.uint32)])
+                if made:
+                    yield packed(made, out)
+
+    return ready.mapInArrow(frugal(run), schema)
+
+
 def match_rows(row, doc, pos, src_row, src_doc, src_pos, bits: int) -> list[tuple]:
     """Matches, packed by bucket of the target's row."""
     bucket = (bytesops.mix(row.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -266,6 +269,35 @@ def match_rows(row, doc, pos, src_row, src_doc, src_pos, bits: int) -> list[tupl
     return made
 
 
+class Occurrences(NamedTuple):
+    """Of seeds, by code, then in the order of documents and of words."""
+
+    code: np.ndarray
+    row: np.ndarray
+    doc: np.ndarray
+    pos: np.ndarray
+    marked: np.ndarray
+    lead: np.ndarray  # where the code begins
+    before: np.ndarray  # the one before the code's first in this document
+
+
+def occurrences(table: pa.Table, code: np.ndarray) -> Occurrences:
+    rows, docs, counts = buffers(table, "rows", np.int64), buffers(table, "docs", np.int64), buffers(table, "counts", np.uint32)
+    pos = buffers(table, "pos", np.uint32)
+    rank = np.empty(len(rows), np.int64)
+    by_rank = np.lexsort((rows, docs))
+    rank[by_rank] = np.arange(len(rows))
+    owner = np.repeat(rank, counts)
+    marked, pos = pos >= MARK, pos & ~MARK
+    order = np.lexsort((pos, owner, code))
+    code, owner, pos, marked = code[order], owner[order], pos[order], marked[order]
+    new_code = np.append(True, code[1:] != code[:-1])[: len(code)]
+    new_run = new_code | np.append(True, owner[1:] != owner[:-1])[: len(code)]
+    lead = np.maximum.accumulate(np.where(new_code, np.arange(len(code)), 0))
+    before = np.maximum.accumulate(np.where(new_run, np.arange(len(code)), 0)) - 1
+    return Occurrences(code, rows[by_rank][owner], docs[by_rank][owner], pos, marked, lead, before)
+
+
 def matched(parts: DataFrame, bits: int, windows: bool = False) -> DataFrame:
     """Each occurrence of a seed with its first holder and the nearest one before. The
     first holder's own occurrences are matched to themselves, to show where its seeds
@@ -274,65 +306,67 @@ def matched(parts: DataFrame, bits: int, windows: bool = False) -> DataFrame:
     out = arrow_schema(MATCHED)
 
     def run(table: pa.Table) -> pa.Table:
-        rows, docs, counts = buffers(table, "rows", np.int64), buffers(table, "docs", np.int64), buffers(table, "counts", np.uint32)
-        code = buffers(table, "low", np.uint32).astype(np.uint64) | buffers(table, "mid", np.uint16).astype(np.uint64) << np.uint64(32)
-        pos = buffers(table, "pos", np.uint32)
-        rank = np.empty(len(rows), np.int64)
-        by_rank = np.lexsort((rows, docs))
-        rank[by_rank] = np.arange(len(rows))
-        owner = np.repeat(rank, counts)
-        marked, pos = pos >= MARK, pos & ~MARK
-        order = np.lexsort((pos, owner, code))
-        code, owner, pos, marked = code[order], owner[order], pos[order], marked[order]
-        n = len(code)
-        new_code = np.append(True, code[1:] != code[:-1])
-        new_run = new_code | np.append(True, owner[1:] != owner[:-1])
-        lead = np.maximum.accumulate(np.where(new_code, np.arange(n), 0))
-        before = np.maximum.accumulate(np.where(new_run, np.arange(n), 0)) - 1
-        is_later = owner != owner[lead] if n else np.zeros(0, bool)
-        later = np.flatnonzero(is_later & marked if windows else is_later)
-        target, source = later, lead[later]
+        o = occurrences(table, buffers(table, "low", np.uint32).astype(np.uint64) | buffers(table, "mid", np.uint16).astype(np.uint64) << np.uint64(32))
+        is_later = o.row != o.row[o.lead]
+        later = np.flatnonzero(is_later & o.marked if windows else is_later)
+        target, source = later, o.lead[later]
         if not windows:
-            other = later[owner[before[later]] != owner[lead[later]]]
-            shared = np.bincount(lead, is_later, n) > 0
-            own = np.flatnonzero(~is_later & (shared[lead] | marked))
-            target, source = np.concatenate([later, other, own]), np.concatenate([source, before[other], own])
-        r, d = rows[by_rank], docs[by_rank]
-        made = match_rows(r[owner[target]], d[owner[target]], pos[target], r[owner[source]], d[owner[source]], pos[source], bits)
+            other = later[o.row[o.before[later]] != o.row[o.lead[later]]]
+            shared = np.bincount(o.lead, is_later, len(o.code)) > 0
+            own = np.flatnonzero(~is_later & (shared[o.lead] | o.marked))
+            target, source = np.concatenate([later, other, own]), np.concatenate([source, o.before[other], own])
+        made = match_rows(o.row[target], o.doc[target], o.pos[target], o.row[source], o.doc[source], o.pos[source], bits)
         return pa.Table.from_batches([packed(made, out)])
 
     return parts.groupBy("part").applyInArrow(frugal(run), MATCHED)
 
 
-def matched_common(ready: DataFrame, firsts: Firsts, bits: int) -> DataFrame:
-    """The same for common seeds, against their first holders, or an occurrence that no
-    other precedes against itself."""
-    out, mask = arrow_schema(MATCHED), mask_of(bits)
+def block_ends(blocks: DataFrame) -> DataFrame:
+    """The first and the last occurrence of each common seed in each block."""
+    schema = "part int, place long, first_doc long, first_row long, first_pos long, last_doc long, last_row long, last_pos long"
+    out = arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        o = occurrences(table, buffers(table, "place", np.uint32))
+        first = np.unique(o.lead)
+        last = np.append(first[1:], len(o.code))[: len(first)] - 1
+        columns = [np.full(len(first), table["part"][0].as_py()), o.code[first], *(v[at] for at in (first, last) for v in (o.doc, o.row, o.pos))]
+        return pa.Table.from_arrays([pa.array(v.astype(np.int64)).cast(f.type) for v, f in zip(columns, out)], schema=out)
+
+    return blocks.groupBy("part").applyInArrow(frugal(run), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = []
-            for i, code, pos in seeds(*text_buffer(batch.column(2)), mask):
-                hit = listed(firsts.code, code)
-                if not hit.any():
-                    continue
-                at, where = np.searchsorted(firsts.code, code[hit]), pos[hit] & ~MARK
-                alone = np.ones(len(at), bool)
-                for half in (0, 1):
-                    source, source_doc = firsts.row[at, half], firsts.doc[at, half]
-                    earlier = (source >= 0) & ((source_doc < docs[i]) | ((source_doc == docs[i]) & (source < rows[i])))
-                    alone &= ~earlier
-                    m = int(earlier.sum())
-                    parts.append((np.full(m, rows[i]), np.full(m, docs[i]), where[earlier], source[earlier], source_doc[earlier], firsts.pos[at, half][earlier]))
-                m = int(alone.sum())
-                parts.append((np.full(m, rows[i]), np.full(m, docs[i]), where[alone], np.full(m, rows[i]), np.full(m, docs[i]), where[alone]))
-            if parts:
-                made = match_rows(*(np.concatenate(x) for x in zip(*parts)), bits)
-                if made:
-                    yield packed(made, out)
 
-    return ready.mapInArrow(frugal(run), MATCHED)
+def matched_common(blocks: DataFrame, bits: int) -> DataFrame:
+    """The same for common seeds, block by block."""
+    out = arrow_schema(MATCHED)
+    ordered = Window.partitionBy("place").orderBy("part")  # a seed has a row for each block at most
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = block_ends(blocks).select(
+        "part",
+        "place",
+        *(F.first(f"first_{c}").over(whole).alias(f"first_{c}") for c in ("doc", "row", "pos")),
+        *(F.lag(f"last_{c}", 1, -1).over(ordered).alias(f"last_{c}") for c in ("doc", "row", "pos")),
+        (F.first("first_row").over(whole) != F.last("last_row").over(whole)).alias("shared"),
+    )
+
+    def run(both: tuple[pa.Table, pa.Table]) -> pa.Table:
+        table, seeds_ = both
+        o = occurrences(table, buffers(table, "place", np.uint32))
+        seeds_ = seeds_.sort_by("place")
+        at = np.searchsorted(seeds_["place"].to_numpy(), o.code)
+        first, last = ([seeds_[f"{w}_{c}"].to_numpy()[at] for c in ("row", "doc", "pos")] for w in ("first", "last"))
+        inside = o.before >= o.lead
+        near = [np.where(inside, v[o.before], u) for v, u in zip((o.row, o.doc, o.pos), last)]
+        is_later = o.row != first[0]
+        later, other = np.flatnonzero(is_later), np.flatnonzero(is_later & (near[0] != first[0]))
+        own = np.flatnonzero(~is_later & (seeds_["shared"].to_numpy()[at] | o.marked))
+        target = np.concatenate([later, other, own])
+        source = (np.concatenate([u[later], v[other], w[own]]) for u, v, w in zip(first, near, (o.row, o.doc, o.pos)))
+        made = match_rows(o.row[target], o.doc[target], o.pos[target], *source, bits)
+        return pa.Table.from_batches([packed(made, out)])
+
+    work = frugal(run)
+    return blocks.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lambda table, seeds_: work((table, seeds_)), MATCHED)
 
 
 class Fenwick:
@@ -733,6 +767,15 @@ def word_codes(ready: DataFrame, rows: DataFrame) -> DataFrame:
     return chosen.mapInArrow(frugal(run), schema)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df staged, and its exchanges' files let go: Spark removes them when the driver's JVM
+    finds that nothing refers to them, which by itself may be after the last exchange."""
+    out = staged(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """One row for each passage that repeats an earlier document's: row, doc_id,
     start_word, n_words, source_doc_id, source_row, identity."""
@@ -744,15 +787,16 @@ def passages(docs: DataFrame) -> DataFrame:
     wanted = max(shuffle_parts(spark), (size.bytes or 0) // 6 * 2 // (WINDOW + 1) // PART_SEEDS, 2)
     bits = min(32, int(np.ceil(np.log2(wanted))))
     mask, ready = mask_of(bits), prepared(docs)
-    common = common_seeds(docs, size.n, mask)
-    firsts = first_holders(ready, common, mask)
+    common, most = common_seeds(ready, size.n, mask)
     matches = matched(dealt(ready, common, bits), bits)
     if len(common):
-        matches = matches.unionByName(matched_common(ready, firsts, bits))
-    found = staged(chained(matches), "chains")
+        starts = block_starts(ready, max(shuffle_parts(spark), most // PART_SEEDS))
+        blocks = staged(dealt_common(ready, common, starts, mask), "common")
+        matches = matches.unionByName(matched_common(blocks, bits))
+    found = settled(chained(matches), "chains")
     links, shared = found.where("row <> src_row"), found.where("row = src_row")
     rows = staged(found.select("row").union(links.select("src_row")).distinct(), "rows")
-    words = staged(word_codes(ready, rows), "words")
+    words = settled(word_codes(ready, rows), "words")
     cut = lambda words_, lo, hi: F.slice(words_, F.col(lo) + 1, F.col(hi) - F.col(lo))
     source = words.select(F.col("row").alias("src_row"), F.col("words").alias("src_words"))
 
@@ -761,15 +805,15 @@ def passages(docs: DataFrame) -> DataFrame:
         return own.join(source, "src_row").withColumn("b", cut("src_words", "src_lo", "src_hi")).drop("src_words")
 
     spans_ = lambda found_: found_.select("row", "start_word", "n_words")
-    first = staged(aligned(pairs(links.where("NOT later"))), "first")
-    rest = staged(still_open(links.where("later"), spans_(first)), "open")
-    known = staged(first.unionByName(aligned(pairs(rest))), "known")
+    first = settled(aligned(pairs(links.where("NOT later"))), "first")
+    rest = settled(still_open(links.where("later"), spans_(first)), "open")
+    known = settled(first.unionByName(aligned(pairs(rest))), "known")
     # Short seeds are shared by chance the more, the larger the table; long ones are not.
-    shared = staged(chained(matched(long_seeds(words, shared, bits), bits), LONG), "shared")
+    shared = settled(chained(matched(long_seeds(words, shared, bits), bits), LONG), "shared")
     whole = windows(words, shared, known, bits)
     if whole is None:
         return known.drop("exact")
-    more = staged(still_open(chained(matched(whole, bits, True), MIN_WORDS), spans_(known)), "more")
+    more = settled(still_open(chained(matched(whole, bits, True), MIN_WORDS), spans_(known)), "more")
     return known.unionByName(aligned(pairs(more))).drop("exact")
 
 
