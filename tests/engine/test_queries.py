@@ -41,6 +41,13 @@ def test_blocks_of_every_run(spark, tmp_path):
     assert {r[0] for r in got} == {0, 1, 2, 3} and len(got) > 8
 
 
+def test_varints_of_any_length(spark, tmp_path):
+    want = {127: "7f", 128: "8001", 16384: "808001", 2**21 - 1: "ffff7f", 2**21: "80808001", 5_999_999: "ff9aee02", 2**28: "8080808001", 2**63 - 1: "ff" * 8 + "7f"}
+    spark.createDataFrame([(n,) for n in want], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["q_varints"](spark, str(tmp_path)).collect()
+    assert {r.event_id: r.varint for r in got} == want and all(r.back == r.event_id for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
