@@ -133,6 +133,38 @@ def test_rotation_charges(spark):
     assert got == [(0, 0, 2, 3, 109), (1, 3, 4, 2, 92)]
 
 
+def changes_of(rng: random.Random, kind: str, n: int) -> list[tuple[str, int]]:
+    """(key, value bytes) of a log's rows, in order."""
+    if kind == "mixed":
+        return [(f"k{rng.randrange(40):02d}", rng.choice([0, 0, 5, 9, 60])) for _ in range(n)]
+    if kind == "equal":  # chains that never meet
+        return [(f"k{i:04d}", 9) for i in range(n)]
+    if kind == "quiet":  # generations over many pieces: most rows are charged nothing
+        return [(rng.choice("ab"), 0) if i % 97 else (f"k{i:04d}", 1) for i in range(n)]
+    if kind == "large":  # each row ends one
+        return [(f"k{i % 3}", 500) for i in range(n)]
+    if kind == "still":
+        return [("a", 0)] * n
+    return [c for k in ("quiet", "mixed", "still", "large", "equal") for c in changes_of(rng, k, n // 5)]
+
+
+@pytest.mark.parametrize("threshold, piece_rows", [(1, 250), (90, 60), (3000, 60)])
+def test_rotations_in_pieces(spark, monkeypatch, threshold, piece_rows):
+    rng, rows = random.Random(threshold), []
+    for log, (kind, n) in enumerate([("mixed", 900), ("equal", 700), ("quiet", 900), ("large", 300), ("still", 300), ("all", 1500), ("mixed", 61), ("mixed", 20)]):
+        seqs = sorted(rng.sample(range(100 * n), n))
+        rows += [(log, seq, k, len(k), v) for seq, (k, v) in zip(seqs, changes_of(rng, kind, n))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "log int, seq long, key string, key_bytes int, value_bytes int")
+    want = sorted(map(tuple, folds.rotations(frame, threshold).collect()))
+    whole, longest = folds._whole, []
+    monkeypatch.setattr(folds, "PIECE_ROWS", piece_rows)
+    monkeypatch.setattr(folds, "_whole", lambda some, n: longest.append(some.groupBy("log").count().agg(F.max("count")).first()[0]) or whole(some, n))
+    got = folds.rotations(frame, threshold)
+    assert got.schema == whole(frame, threshold).schema and sorted(map(tuple, got.collect())) == want
+    assert longest[0] <= piece_rows
+
+
 @given(st.lists(st.binary(max_size=20), max_size=30))
 def test_hashes_of_many_keys(many):
     assert hashing.hash64_all(many).tolist() == [hashing.hash64(k) for k in many]
