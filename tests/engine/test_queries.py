@@ -48,6 +48,16 @@ def test_varints_of_any_length(spark, tmp_path):
     assert {r.event_id: r.varint for r in got} == want and all(r.back == r.event_id for r in got)
 
 
+@pytest.mark.parametrize("name", ["q_version_ids", "q_rotations"])
+def test_a_long_log_is_no_single_task(spark, duck, monkeypatch, name):
+    whole, rows = catalogue.folds._whole, []
+    monkeypatch.setattr(catalogue.folds, "PIECE_ROWS", 100)
+    monkeypatch.setattr(catalogue.folds, "_whole", lambda some, n: rows.append(some.count()) or whole(some, n))
+    got = catalogue.QUERIES[name](spark, DATA)
+    want = duck.sql(catalogue.ORACLE[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and rows == [0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
